@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import leakage, pii, simhash
+from treeloom.llm import language, leakage, pages, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_simhash": simhash.op2_simhash,
+    "op7_language": language.op7_language,
     "op8_decontaminate": leakage.op8_decontaminate,
+    "op9_pages": pages.op9_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
