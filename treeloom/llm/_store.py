@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,13 @@ def discard(spark: SparkSession, path: str) -> None:
     """Removes a table that no later plan reads."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Bytes up to which a side of a join is sent to every executor.
+BROADCAST = 8 << 20
+
+
+def sized(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, a written table, with the hint to broadcast it if its measured size allows; else it is joined by a shuffle."""
+    total = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST else df
