@@ -17,15 +17,15 @@ import uuid
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of the literal: words whose tokens it holds, and texts (with so many of their signs) that these are counted in.
-WORDS, SAMPLE, SAMPLE_SIGNS = 65_536, 4096, 16_384
+WORDS, SAMPLE, SAMPLE_SIGNS = 262_144, 16_384, 16_384
 #: Longest word in the literal, in bytes.
 WORD_BYTES = 48
 
-_NONE = (1 << 31) - 1
 _SPACE = r"\t-\r \x85\xA0  -     　"
 
 
@@ -44,7 +44,7 @@ def _places(keys: list, size: int, first: Callable, second: Callable) -> list:
     """Each key at one of its two places; keys that find none are left out of the result's places (None where empty)."""
     table: list = [None] * size
     rnd = random.Random(1)
-    for key in keys:
+    for key in keys:  # always in at the first place, so that a key at its second has a taken first one
         now, at = key, first(key)
         for _ in range(500):
             table[at], now = now, table[at]
@@ -72,7 +72,7 @@ class Vocabulary:
             self.tokens[r] = t
         byte_hash = [zlib.crc32(bytes([b])) for b in range(256)]
         self.byte_size = next(m for m in range(256, 1 << 20) if len({h % m for h in byte_hash}) == 256)
-        self.bytes = [_NONE] * self.byte_size
+        self.bytes = [0] * self.byte_size
         for b in range(256):
             self.bytes[byte_hash[b] % self.byte_size] = of[bytes([b])]
         pairs = {}
@@ -80,7 +80,7 @@ class Vocabulary:
             for i in range(1, len(t)):
                 if t[:i] in of and t[i:] in of:
                     pairs[of[t[:i]] << 16 | of[t[i:]]] = r
-        self.pair_size = int(2.4 * len(pairs)) | 1
+        self.pair_size = 5 * len(pairs) | 1
         table = _places(sorted(pairs), self.pair_size, *_pair_slots(self.pair_size))
         self.pairs = [-1 if k is None else k << 17 | pairs[k] for k in table]
         if len(self.tokens) > 1 << 16:
@@ -92,41 +92,56 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(t: Tables, names: list[str], body: Callable[[Tables], Column]) -> Column:
+    """body with the tables named once in the expression: plans are compared and hashed as a whole, literals too."""
+
+    def more(at: int, have: Tables) -> Column:
+        return body(have) if at == len(names) else let(t[names[at]], lambda x: more(at + 1, have | {names[at]: x}))
+
+    return more(0, {})
+
+
+#: A neighbour in a fold is one number: rank of its pair with the next (17 bits), its place in the word (29), its token (17).
+_TOKEN, _PLACE, _NONE = (1 << 17) - 1, ((1 << 29) - 1) << 17, (1 << 17) - 1
+
+
 def fold(word: Column, t: Tables, v: Vocabulary) -> Column:
-    """The tokens of one word: the ranked merges of its bytes. t: the tables."""
+    """The tokens of one word: the ranked merges of its bytes. t: the tables.
+
+    The smallest number is the leftmost neighbour of the smallest rank. The rank of a pair is the token that it makes.
+    """
 
     def rank(a: Column, b: Column) -> Column:
         def found(key: Column) -> Column:
             one = F.get(t["pairs"], (key % v.pair_size).cast("int"))
             two = F.get(t["pairs"], (F.shiftright(key * 1_103_515_245, 15) % v.pair_size).cast("int"))
-            mask = F.lit((1 << 17) - 1).cast("long")
-            return F.when(F.shiftright(one, 17) == key, one.bitwiseAND(mask)).when(F.shiftright(two, 17) == key, two.bitwiseAND(mask)).otherwise(F.lit(_NONE).cast("long")).cast("int")
+            # a pair is at its second place only if its first is taken
+            return F.when(F.shiftright(one, 17) == key, one.bitwiseAND(_TOKEN)).when(one < 0, _NONE).when(F.shiftright(two, 17) == key, two.bitwiseAND(_TOKEN)).otherwise(_NONE)
 
-        return let(a.cast("long") * 65_536 + b, found)
+        return F.shiftleft(let(a.bitwiseAND(_TOKEN) * 65_536 + b.bitwiseAND(_TOKEN), found), 46)
 
     def step(s: Column, _: Column) -> Column:
-        parts, known = s["parts"], s["ranks"]
-
         def merged(m: Column) -> Column:
+            made = F.shiftright(m, 46)
+
             def at(p: Column) -> Column:
-                n = F.size(parts)
-                left = F.when(p > 1, F.concat(F.slice(known, 1, F.greatest(p - 2, F.lit(0))), F.array(rank(F.get(parts, p - 2), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p + 1 < n, F.concat(F.array(rank(m, F.get(parts, p + 1))), F.slice(known, p + 2, n))).otherwise(F.array().cast("array<int>"))
-                return F.struct(F.concat(F.slice(parts, 1, p - 1), F.array(m), F.slice(parts, p + 2, n)).alias("parts"), F.concat(left, right).alias("ranks"))
+                def renewed(x: Column, i: Column) -> Column:
+                    own = F.coalesce(rank(made, F.get(s, p + 1)), F.lit(_NONE << 46)).bitwiseOR(m.bitwiseAND(_PLACE)).bitwiseOR(made)
+                    left = rank(x, made).bitwiseOR(x.bitwiseAND(_PLACE | _TOKEN))
+                    return F.when(i == p - 1, own).when(i == p - 2, left).otherwise(x)
+
+                return F.transform(F.filter(s, lambda x, i: i != p), renewed)
 
-            return F.when(m == _NONE, s).otherwise(let(F.array_position(known, m).cast("int"), at))
+            return F.when(m >= _NONE << 46, s).otherwise(let(F.array_position(s, m).cast("int"), at))
 
-        return F.when(F.size(known) == 0, s).otherwise(let(F.array_min(known), merged))
+        return let(F.array_min(s), merged)
 
     def of_bytes(data: Column) -> Column:
-        n = F.octet_length(data)
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.get(t["bytes"], (F.crc32(F.substring(data, i, F.lit(1))) % v.byte_size).cast("int")))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.get(t["bytes"], (F.crc32(F.substring(data, i, F.lit(1))) % v.byte_size).cast("int")).cast("long"))
 
     def run(parts: Column) -> Column:
-        n = F.size(parts)
-        rest = F.slice(parts, F.lit(2), n)
-        start = F.struct(parts.alias("parts"), F.zip_with(F.slice(parts, F.lit(1), n - 1), rest, rank).alias("ranks"))
-        return F.aggregate(rest, start, step, lambda s: s["parts"])
+        start = F.transform(parts, lambda x, i: F.coalesce(rank(x, F.get(parts, i + 1)), F.lit(_NONE << 46)).bitwiseOR(F.shiftleft(i.cast("long"), 17)).bitwiseOR(x))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: F.transform(s, lambda x: x.bitwiseAND(_TOKEN).cast("int")))
 
     return let(let(word.cast("binary"), of_bytes), run)
 
@@ -149,10 +164,10 @@ def _tables(spark: SparkSession, v: Vocabulary, words: list[tuple[str, list[int]
         h = {r["w"]: (r["a"], r["b"]) for r in spark.createDataFrame([(w,) for w, _ in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(size)).alias("a"), F.pmod(F.shiftright(F.xxhash64("w"), 24), F.lit(size)).alias("b")).collect()}
         table = _places(sorted(h), size, lambda w: h[w][0], lambda w: h[w][1])
         ids = [None if w is None else by_hash[w] for w in table]
-    row = (v.pairs, v.bytes, [t.hex() for t in v.tokens], table, ids)
     view = f"treeloom_{uuid.uuid4().hex}"
-    made = spark.createDataFrame([row], ", ".join(f"{k} {x}" for k, x in _TABLES.items()))
-    made.createOrReplaceTempView(view)
+    whole = {"pairs": pa.array([v.pairs], pa.list_(pa.int64())), "bytes": pa.array([v.bytes], pa.list_(pa.int32())), "tokens": pa.array([[t.hex() for t in v.tokens]], pa.list_(pa.string()))}
+    whole |= {"words": pa.array([table], pa.list_(pa.string())), "ids": pa.array([ids], pa.list_(pa.list_(pa.int32())))}
+    spark.createDataFrame(pa.table(whole)).createOrReplaceTempView(view)
     try:
         out = {}
         for k, x in _TABLES.items():
@@ -176,17 +191,20 @@ def encode(text: Column, t: Tables, v: Vocabulary, words: int) -> Column:
     """array<int>: the tokens of a whole text."""
     size = int(2.4 * words) | 1 if words else 1
 
-    def tokens(w: Column) -> Column:
-        if not words:
-            return fold(w, t, v)
+    def of(t: Tables) -> Column:
+        def tokens(w: Column) -> Column:
+            if not words:
+                return fold(w, t, v)
+
+            def looked(h: Column) -> Column:
+                a, b = F.pmod(h, F.lit(size)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(size)).cast("int")
+                return F.when(F.get(t["words"], a) == w, F.get(t["ids"], a)).when(F.get(t["words"], b) == w, F.get(t["ids"], b)).otherwise(fold(w, t, v))
 
-        def looked(h: Column) -> Column:
-            a, b = F.pmod(h, F.lit(size)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(size)).cast("int")
-            return F.when(F.get(t["words"], a) == w, F.get(t["ids"], a)).when(F.get(t["words"], b) == w, F.get(t["ids"], b)).otherwise(fold(w, t, v))
+            return let(F.xxhash64(w), looked)
 
-        return let(F.xxhash64(w), looked)
+        return F.flatten(F.transform(pieces(text, v), tokens))
 
-    return F.flatten(F.transform(pieces(text, v), tokens))
+    return bound(t, ["pairs", "bytes", "words", "ids"], of)
 
 
 def decode(ids: Column, t: Tables) -> Column:
@@ -203,7 +221,7 @@ def frequent_words(docs: DataFrame, v: Vocabulary, text: str = "text", words: in
     counted = sample.select(F.explode(pieces(F.col("text"), v)).alias("word")).groupBy("word").count().where(F.octet_length("word") <= WORD_BYTES)
     top = counted.orderBy(F.desc("count"), "word").limit(words).select("word")
     tables = _tables(docs.sparkSession, v, [])
-    out = top.repartition(32, "word").select("word", fold(F.col("word"), tables, v).alias("ids"))
+    out = top.repartition(32, "word").select("word", bound(tables, ["pairs", "bytes"], lambda t: fold(F.col("word"), t, v)).alias("ids"))
     _drop(docs.sparkSession, tables)
     return out
 
