@@ -732,10 +732,10 @@ def r05(spark, d):
     return mutation.fractions(mutation.mapped(mutation.with_context(aged(spark, d))), grid(spark), ["category"]).select("category", "epoch", r6("mut").alias("mut"))
 
 
-@query("r09_expected_observed", sql("w AS (SELECT b.tree_id, epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) * span * 1e-7) AS expected FROM branches b JOIN spans s ON s.tree_id = b.tree_id JOIN epochs ON lo < age_end AND hi > age_begin GROUP BY 1, 2), o AS (SELECT tree_id, epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) / (age_end - age_begin)) AS observed FROM ages JOIN epochs ON lo < age_end AND hi > age_begin WHERE n_branches = 1 AND age_end > age_begin GROUP BY 1, 2) SELECT w.tree_id, w.epoch, round(expected, 6) AS expected, round(coalesce(observed, 0), 6) AS observed FROM w LEFT JOIN o USING (tree_id, epoch)", "branches", "ages", "spans", "epochs"))
+@query("r09_expected_observed", sql("w AS (SELECT b.tree_id, epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) * span * 1e-7) AS expected FROM branches b JOIN spans s ON s.tree_id = b.tree_id JOIN epochs ON lo < age_end AND hi > age_begin GROUP BY 1, 2), o AS (SELECT tree_id, epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) / (age_end - age_begin)) AS observed FROM ages JOIN epochs ON lo < age_end AND hi > age_begin WHERE n_branches = 1 AND age_end > age_begin GROUP BY 1, 2) SELECT w.tree_id, w.epoch, round(expected, 4) AS expected, round(coalesce(observed, 0), 4) AS observed FROM w LEFT JOIN o USING (tree_id, epoch)", "branches", "ages", "spans", "epochs"))
 def r09(spark, d):
     out = mutation.expected_and_observed(branches(spark, d), aged(spark, d), spans(spark, d).select("tree_id", "span"), grid(spark), 1e-7)
-    return out.select("tree_id", "epoch", r6("expected").alias("expected"), r6("observed").alias("observed"))
+    return out.select("tree_id", "epoch", F.round("expected", 4).alias("expected"), F.round("observed", 4).alias("observed"))
 
 
 def paths_table(spark, d):
