@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,25 +41,24 @@ def pattern_in_java(pattern: str) -> str:
     return pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
 
-def _places(keys: list, size: int, first: Callable, second: Callable) -> list:
-    """Each key at one of its two places; keys that find none are left out of the result's places (None where empty)."""
-    table: list = [None] * size
+def _places(first: list[int], second: list[int], size: int) -> np.ndarray:
+    """The number of the key at each place, -1 where none is; a key is at one of its two places.
+
+    A key goes to its first place always and moves on only for another, so one at its second place has a taken first.
+    """
+    table = [-1] * size
     rnd = random.Random(1)
-    for key in keys:  # always in at the first place, so that a key at its second has a taken first one
-        now, at = key, first(key)
+    for key in range(len(first)):
+        now, at = key, first[key]
         for _ in range(500):
             table[at], now = now, table[at]
-            if now is None:
+            if now < 0:
                 break
-            a, b = first(now), second(now)
+            a, b = first[now], second[now]
             at = b if at == a else a if at == b else rnd.choice((a, b))
         else:
-            raise ValueError("no room in the rank table")
-    return table
-
-
-def _pair_slots(size: int) -> tuple[Callable, Callable]:
-    return (lambda k: k % size), (lambda k: ((k * 1_103_515_245) >> 15) % size)
+            raise ValueError("no room in the table")
+    return np.array(table, np.int64)
 
 
 class Vocabulary:
@@ -81,8 +81,10 @@ class Vocabulary:
                 if t[:i] in of and t[i:] in of:
                     pairs[of[t[:i]] << 16 | of[t[i:]]] = r
         self.pair_size = 5 * len(pairs) | 1
-        table = _places(sorted(pairs), self.pair_size, *_pair_slots(self.pair_size))
-        self.pairs = [-1 if k is None else k << 17 | pairs[k] for k in table]
+        keys = np.array(sorted(pairs), np.int64)
+        table = _places((keys % self.pair_size).tolist(), ((keys * 1_103_515_245 >> 15) % self.pair_size).tolist(), self.pair_size)
+        entries = np.append(keys << 17 | np.array([pairs[k] for k in keys.tolist()], np.int64), -1)
+        self.pairs = entries[table]
         if len(self.tokens) > 1 << 16:
             raise ValueError("ids of more than 16 bits")
 
@@ -154,19 +156,21 @@ Tables = dict
 _TABLES = {"pairs": "array<bigint>", "bytes": "array<int>", "tokens": "array<string>", "words": "array<string>", "ids": "array<array<int>>"}
 
 
-def _tables(spark: SparkSession, v: Vocabulary, words: list[tuple[str, list[int]]]) -> Tables:
-    """The literal: a constant of the plan, sent with its tasks."""
-    size = int(2.4 * len(words)) | 1 if words else 1
-    by_hash = dict(words)
-    table = [None] * size
-    ids: list = [None] * size
-    if words:
-        h = {r["w"]: (r["a"], r["b"]) for r in spark.createDataFrame([(w,) for w, _ in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(size)).alias("a"), F.pmod(F.shiftright(F.xxhash64("w"), 24), F.lit(size)).alias("b")).collect()}
-        table = _places(sorted(h), size, lambda w: h[w][0], lambda w: h[w][1])
-        ids = [None if w is None else by_hash[w] for w in table]
-    view = f"treeloom_{uuid.uuid4().hex}"
+def _tables(spark: SparkSession, v: Vocabulary, words: pa.Table | None = None) -> Tables:
+    """The literal: a constant of the plan, sent with its tasks. words: word, ids and h, the word's hash."""
+    n = words.num_rows if words else 0
+    size = int(2.4 * n) | 1
     whole = {"pairs": pa.array([v.pairs], pa.list_(pa.int64())), "bytes": pa.array([v.bytes], pa.list_(pa.int32())), "tokens": pa.array([[t.hex() for t in v.tokens]], pa.list_(pa.string()))}
-    whole |= {"words": pa.array([table], pa.list_(pa.string())), "ids": pa.array([ids], pa.list_(pa.list_(pa.int32())))}
+    if n:
+        h = words["h"].to_numpy()
+        at = _places((h % size).tolist(), ((h >> 24) % size).tolist(), size)
+        at = pa.array(np.where(at < 0, 0, at), mask=at < 0)
+        one = pa.array([0, size], pa.int32())
+        whole["words"] = pa.ListArray.from_arrays(one, words["word"].combine_chunks().cast(pa.string()).take(at))
+        whole["ids"] = pa.ListArray.from_arrays(one, words["ids"].combine_chunks().cast(pa.list_(pa.int32())).take(at))
+    else:
+        whole |= {"words": pa.array([[None]], pa.list_(pa.string())), "ids": pa.array([[None]], pa.list_(pa.list_(pa.int32())))}
+    view = f"treeloom_{uuid.uuid4().hex}"
     spark.createDataFrame(pa.table(whole)).createOrReplaceTempView(view)
     try:
         out = {}
@@ -213,15 +217,15 @@ def decode(ids: Column, t: Tables) -> Column:
 
 
 def frequent_words(docs: DataFrame, v: Vocabulary, text: str = "text", words: int = WORDS) -> DataFrame:
-    """(word, ids) of the most frequent distinct words of the sample, folded: words rows at most."""
+    """(word, ids, h) of the most frequent distinct words of the sample, folded: words rows at most."""
     rows = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.left(F.col(text), F.lit(SAMPLE_SIGNS)).alias("text"))
     n = docs.count()
     share = min(1.0, SAMPLE / max(1, n))
     sample = rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
     counted = sample.select(F.explode(pieces(F.col("text"), v)).alias("word")).groupBy("word").count().where(F.octet_length("word") <= WORD_BYTES)
     top = counted.orderBy(F.desc("count"), "word").limit(words).select("word")
-    tables = _tables(docs.sparkSession, v, [])
-    out = top.repartition(32, "word").select("word", bound(tables, ["pairs", "bytes"], lambda t: fold(F.col("word"), t, v)).alias("ids"))
+    tables = _tables(docs.sparkSession, v)
+    out = top.repartition(32, "word").select("word", bound(tables, ["pairs", "bytes"], lambda t: fold(F.col("word"), t, v)).alias("ids"), F.xxhash64("word").alias("h"))
     _drop(docs.sparkSession, tables)
     return out
 
@@ -247,9 +251,9 @@ def tokenize(docs: DataFrame, v: Vocabulary, text: str = "text", words: int = WO
     named as those added are replaced; an empty table gives none.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
-    common = [(r["word"], r["ids"]) for r in frequent_words(docs, v, text, words).collect()] if words else []
+    common = frequent_words(docs, v, text, words).toArrow() if words else None  # words rows at most, as Arrow
     tables = _tables(docs.sparkSession, v, common)
-    out = docs.select(*keep, encode(F.col(text), tables, v, len(common)).alias("ids"))
+    out = docs.select(*keep, encode(F.col(text), tables, v, common.num_rows if words else 0).alias("ids"))
     out = out.withColumn("decoded", decode(F.col("ids"), tables))
     _drop(docs.sparkSession, tables)
     return out
