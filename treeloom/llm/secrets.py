@@ -131,7 +131,7 @@ def candidates(text: Column) -> Column:
         def long_enough(x: Column, i: Column) -> Column:
             assigned = F.contains(x, F.lit("=")) | F.contains(x, F.lit(":")) | F.get(words, i - 1).rlike("[=:][\"'(]*$")
             size = F.length(x)
-            return (size >= SHORT) & (size <= LONGEST) & ((size >= LONG) | F.coalesce(assigned, F.lit(False))) & x.rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z][A-Z]|[!@$%^&*+/]")
+            return (size >= SHORT) & (size <= LONGEST) & ((size >= LONG) | F.coalesce(assigned, F.lit(False))) & x.rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z][A-Z]|[!@$%^&*+/]|AKIA[A-Z]")
 
         # the filter comes first: of most words only the length is looked at
         at = F.filter(F.transform(words, lambda x, i: F.when(long_enough(x, i), i)), lambda i: i.isNotNull())

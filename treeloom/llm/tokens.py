@@ -15,7 +15,7 @@ import base64
 import random
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of the literal: words whose tokens it holds, and texts (with so many of their signs) that these are counted in.
-WORDS, SAMPLE, SAMPLE_SIGNS = 262_144, 16_384, 16_384
+WORDS, SAMPLE, SAMPLE_SIGNS = 393_216, 24_576, 16_384
 #: Longest word in the literal, in bytes.
 WORD_BYTES = 48
 
@@ -38,6 +38,10 @@ def ranks(path: str) -> dict[bytes, int]:
 
 def pattern_in_java(pattern: str) -> str:
     """The split pattern with white space as Unicode has it, which Java's own class isn't."""
+    # contractions share their first sign: one look instead of seven at every place
+    short = r"'s|'t|'re|'ve|'m|'ll|'d|"
+    if pattern.startswith(short):
+        pattern = "'(?:s|t|re|ve|m|ll|d)|" + pattern[len(short) :]
     return pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
 
@@ -153,51 +157,73 @@ def pieces(text: Column, v: Vocabulary) -> Column:
 
 
 Tables = dict
-_TABLES = {"pairs": "array<bigint>", "bytes": "array<int>", "tokens": "array<string>", "words": "array<string>", "ids": "array<array<int>>"}
+_TYPES = {"pairs": "array<bigint>", "bytes": "array<int>", "tokens": "array<string>"}
+_WORDS = "struct<words:array<string>,ids:array<array<int>>,size:int>"
 
 
-def _tables(spark: SparkSession, v: Vocabulary, words: pa.Table | None = None) -> Tables:
-    """The literal: a constant of the plan, sent with its tasks. words: word, ids and h, the word's hash."""
-    n = words.num_rows if words else 0
-    size = int(2.4 * n) | 1
+def _variable(spark: SparkSession, name: str, type: str, rows: DataFrame) -> Column:
+    """The one value of rows as a constant of every plan that names it."""
+    view = f"{name}_view"
+    rows.createOrReplaceTempView(view)
+    try:
+        spark.sql(f"DECLARE VARIABLE {name} {type}")
+        spark.sql(f"SET VARIABLE {name} = (SELECT * FROM {view})")
+    finally:
+        spark.catalog.dropTempView(view)
+    return F.expr(name)
+
+
+def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None) -> Tables:
+    """The literal: a constant of the plan, sent with its tasks. words: word, ids and h, the word's hash.
+
+    The words are placed in an executor and come as one value; the driver's Python never holds them.
+    """
+    name = f"treeloom_{uuid.uuid4().hex}"
     whole = {"pairs": pa.array([v.pairs], pa.list_(pa.int64())), "bytes": pa.array([v.bytes], pa.list_(pa.int32())), "tokens": pa.array([[t.hex() for t in v.tokens]], pa.list_(pa.string()))}
-    if n:
-        h = words["h"].to_numpy()
+    out: Tables = {"names": []}
+    for k, x in whole.items():
+        out[k] = _variable(spark, f"{name}_{k}", _TYPES[k], spark.createDataFrame(pa.table({k: x})))
+        out["names"].append(f"{name}_{k}")
+    out["size"] = 0
+    if words is None:
+        return out
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        n = sum(b.num_rows for b in found)
+        if not n:
+            return
+        table = pa.Table.from_batches(found)
+        size = int(2.4 * n) | 1
+        h = table["h"].to_numpy()
         at = _places((h % size).tolist(), ((h >> 24) % size).tolist(), size)
         at = pa.array(np.where(at < 0, 0, at), mask=at < 0)
         one = pa.array([0, size], pa.int32())
-        whole["words"] = pa.ListArray.from_arrays(one, words["word"].combine_chunks().cast(pa.string()).take(at))
-        whole["ids"] = pa.ListArray.from_arrays(one, words["ids"].combine_chunks().cast(pa.list_(pa.int32())).take(at))
-    else:
-        whole |= {"words": pa.array([[None]], pa.list_(pa.string())), "ids": pa.array([[None]], pa.list_(pa.list_(pa.int32())))}
-    view = f"treeloom_{uuid.uuid4().hex}"
-    spark.createDataFrame(pa.table(whole)).createOrReplaceTempView(view)
-    try:
-        out = {}
-        for k, x in _TABLES.items():
-            # a session variable is a constant of every plan that names it
-            spark.sql(f"DECLARE VARIABLE {view}_{k} {x}")
-            spark.sql(f"SET VARIABLE {view}_{k} = (SELECT {k} FROM {view})")
-            out[k] = F.expr(f"{view}_{k}")
-        out["name"] = view
-        return out
-    finally:
-        spark.catalog.dropTempView(view)
+        columns = [pa.ListArray.from_arrays(one, table[k].combine_chunks().take(at)) for k in ("word", "ids")]
+        value = pa.StructArray.from_arrays([*columns, pa.array([size], pa.int32())], names=["words", "ids", "size"])
+        yield pa.RecordBatch.from_arrays([value], names=["value"])
+
+    rows = words.select("word", "ids", "h").coalesce(1).mapInArrow(placed, f"value {_WORDS}")
+    value = _variable(spark, f"{name}_words", _WORDS, rows)
+    out["names"].append(f"{name}_words")
+    out["size"] = spark.range(1).select(value["size"]).first()[0] or 0  # no words: null
+    out |= {"words": value["words"], "ids": value["ids"]}
+    return out
 
 
 def _drop(spark: SparkSession, t: Tables) -> None:
     """Plans that are analysed hold the values, not the names."""
-    for k in _TABLES:
-        spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {t['name']}_{k}")
+    for name in t["names"]:
+        spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
 
 
-def encode(text: Column, t: Tables, v: Vocabulary, words: int) -> Column:
+def encode(text: Column, t: Tables, v: Vocabulary) -> Column:
     """array<int>: the tokens of a whole text."""
-    size = int(2.4 * words) | 1 if words else 1
+    size = t["size"]
 
     def of(t: Tables) -> Column:
         def tokens(w: Column) -> Column:
-            if not words:
+            if not size:
                 return fold(w, t, v)
 
             def looked(h: Column) -> Column:
@@ -208,7 +234,7 @@ def encode(text: Column, t: Tables, v: Vocabulary, words: int) -> Column:
 
         return F.flatten(F.transform(pieces(text, v), tokens))
 
-    return bound(t, ["pairs", "bytes", "words", "ids"], of)
+    return bound(t, ["pairs", "bytes", *(["words", "ids"] if size else [])], of)
 
 
 def decode(ids: Column, t: Tables) -> Column:
@@ -251,9 +277,8 @@ def tokenize(docs: DataFrame, v: Vocabulary, text: str = "text", words: int = WO
     named as those added are replaced; an empty table gives none.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
-    common = frequent_words(docs, v, text, words).toArrow() if words else None  # words rows at most, as Arrow
-    tables = _tables(docs.sparkSession, v, common)
-    out = docs.select(*keep, encode(F.col(text), tables, v, common.num_rows if words else 0).alias("ids"))
+    tables = _tables(docs.sparkSession, v, frequent_words(docs, v, text, words) if words else None)
+    out = docs.select(*keep, encode(F.col(text), tables, v).alias("ids"))
     out = out.withColumn("decoded", decode(F.col("ids"), tables))
     _drop(docs.sparkSession, tables)
     return out
@@ -261,4 +286,4 @@ def tokenize(docs: DataFrame, v: Vocabulary, text: str = "text", words: int = WO
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), vocabulary(), keep=["doc_id"])
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -20,7 +20,7 @@ from treeloom.llm._words import words
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 #: Words are known by so many bits of their hash; words of grade counts less telling than LEAST_Z standard errors get no weight.
-BITS, LEAST_Z, LEAST_DOCS, MOST_WORDS = 18, 4.5, 5, 4096
+BITS, LEAST_Z, LEAST_DOCS, MOST_WORDS = 18, 3.9, 4, 4096
 RIDGE, STEPS, RATE = 1e-4, 600, 0.1
 
 
