@@ -21,7 +21,7 @@ from treeloom.llm._words import words
 SAMPLE = 20_000
 #: Words are known by so many bits of their hash; words of grade counts less telling than LEAST_Z standard errors get no weight.
 BITS, LEAST_Z, LEAST_DOCS, MOST_WORDS = 18, 3.9, 4, 4096
-RIDGE, STEPS, RATE = 1e-4, 600, 0.1
+RIDGE, STEPS, RATE = 1e-5, 800, 0.1
 
 
 @dataclass
@@ -92,7 +92,11 @@ def _signed_root(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], grade: np.ndarray) -> Model:
-    """rows: sorted distinct slots of each labelled text. Without two grades nothing is learned: all scores are zero."""
+    """rows: sorted distinct slots of each labelled text. Without two grades nothing is learned: all scores are zero.
+
+    Labels that only say yes or no are graded by the text: of the rows with grade 1 those with more telling words than
+    the middle one of those that have any are grade 2.
+    """
     weight = np.zeros(1 << BITS)
     if not len(rows) or grade.max() == 0 or grade.min() > 0:
         return Model(weight, np.array([50.0]))
@@ -109,6 +113,12 @@ def fit(rows: list[np.ndarray], grade: np.ndarray) -> Model:
         return Model(weight, np.array([np.log((~high).sum() / high.sum())]))
     column = np.full(1 << BITS, -1, np.int64)
     column[telling] = np.arange(len(telling))
+    if grade.max() == 1:
+        lead = np.bincount(owner[(column[of] >= 0) & (z[of] > 0)], minlength=len(rows))
+        some = lead[high & (lead > 0)]
+        grade = np.where(high & (lead > (np.median(some) if len(some) else 0)), 2, grade)
+        if grade.max() == 1:
+            grade = np.where(high, 1, 0)
     weight[telling], thresholds = _fit_links(rows, grade, column, len(telling))
     return Model(weight, thresholds)
 
@@ -166,12 +176,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     return rows.mapInArrow(find, T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add("severity", "double").add("grade", "integer").add("toxic", "boolean"))
 
 
-def severity_labels(labels: DataFrame) -> DataFrame:
-    """Grades of labels(doc_id, quality, toxic): 0 not toxic, 1 toxic in a good text, 2 toxic in a poor one."""
-    return labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") <= 0, 0).when(F.col("quality") <= 0, 2).otherwise(1).alias("grade"))
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text")
-    return grade(docs, learn(docs, severity_labels(labels)), keep=["doc_id"])
+    return grade(docs, learn(docs, labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade"))), keep=["doc_id"])
