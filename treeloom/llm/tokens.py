@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of the literal: words whose tokens it holds, and texts (with so many of their signs) that these are counted in.
-WORDS, SAMPLE, SAMPLE_SIGNS = 393_216, 24_576, 16_384
+WORDS, SAMPLE, SAMPLE_SIGNS = 262_144, 24_576, 16_384
 #: Longest word in the literal, in bytes.
 WORD_BYTES = 48
 
@@ -158,7 +158,7 @@ def pieces(text: Column, v: Vocabulary) -> Column:
 
 Tables = dict
 _TYPES = {"pairs": "array<bigint>", "bytes": "array<int>", "tokens": "array<string>"}
-_WORDS = "struct<words:array<string>,ids:array<array<int>>,size:int>"
+_WORDS = "struct<words:array<string>,ids:array<array<int>>>"
 
 
 def _variable(spark: SparkSession, name: str, type: str, rows: DataFrame) -> Column:
@@ -173,8 +173,8 @@ def _variable(spark: SparkSession, name: str, type: str, rows: DataFrame) -> Col
     return F.expr(name)
 
 
-def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None) -> Tables:
-    """The literal: a constant of the plan, sent with its tasks. words: word, ids and h, the word's hash.
+def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None, most: int = 0) -> Tables:
+    """The literal: a constant of the plan, sent with its tasks. words: word, ids and h, the word's hash; `most` rows at most.
 
     The words are placed in an executor and come as one value; the driver's Python never holds them.
     """
@@ -184,29 +184,25 @@ def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None)
     for k, x in whole.items():
         out[k] = _variable(spark, f"{name}_{k}", _TYPES[k], spark.createDataFrame(pa.table({k: x})))
         out["names"].append(f"{name}_{k}")
-    out["size"] = 0
+    out["size"] = size = int(2.4 * most) | 1 if words is not None else 0
     if words is None:
         return out
 
+    kinds = {"word": pa.string(), "ids": pa.list_(pa.int32()), "h": pa.int64()}
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
-        n = sum(b.num_rows for b in found)
-        if not n:
-            return
-        table = pa.Table.from_batches(found)
-        size = int(2.4 * n) | 1
+        table = {k: pa.concat_arrays([b.column(k).cast(x) for b in found]) if found else pa.array([], x) for k, x in kinds.items()}
         h = table["h"].to_numpy()
         at = _places((h % size).tolist(), ((h >> 24) % size).tolist(), size)
-        at = pa.array(np.where(at < 0, 0, at), mask=at < 0)
+        at = pa.array(at, mask=at < 0)
         one = pa.array([0, size], pa.int32())
-        columns = [pa.ListArray.from_arrays(one, table[k].combine_chunks().take(at)) for k in ("word", "ids")]
-        value = pa.StructArray.from_arrays([*columns, pa.array([size], pa.int32())], names=["words", "ids", "size"])
-        yield pa.RecordBatch.from_arrays([value], names=["value"])
+        columns = [pa.ListArray.from_arrays(one, table[k].take(at)) for k in ("word", "ids")]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names=["words", "ids"])], names=["value"])
 
-    rows = words.select("word", "ids", "h").coalesce(1).mapInArrow(placed, f"value {_WORDS}")
+    rows = words.select("word", "ids", "h").repartition(1).mapInArrow(placed, f"value {_WORDS}")
     value = _variable(spark, f"{name}_words", _WORDS, rows)
     out["names"].append(f"{name}_words")
-    out["size"] = spark.range(1).select(value["size"]).first()[0] or 0  # no words: null
     out |= {"words": value["words"], "ids": value["ids"]}
     return out
 
@@ -277,7 +273,7 @@ def tokenize(docs: DataFrame, v: Vocabulary, text: str = "text", words: int = WO
     named as those added are replaced; an empty table gives none.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
-    tables = _tables(docs.sparkSession, v, frequent_words(docs, v, text, words) if words else None)
+    tables = _tables(docs.sparkSession, v, frequent_words(docs, v, text, words) if words else None, words)
     out = docs.select(*keep, encode(F.col(text), tables, v).alias("ids"))
     out = out.withColumn("decoded", decode(F.col("ids"), tables))
     _drop(docs.sparkSession, tables)
