@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm._store import materialise
+from treeloom.llm._store import materialise, sized
 from treeloom.llm._words import words
 
 #: Least cosine of a passage, and the share of a text's words that its passages hold if it is a licence file.
@@ -164,6 +164,7 @@ def scan(docs: DataFrame, text: str = "text", path: str = "path", keep: list[str
     parts = F.split("__dir", "/")
     above = dirs.select("__dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a")).select("__dir", "a.*")
     near = above.join(files, "above").groupBy("__dir").agg(F.max_by("best", "depth").alias("__near"))
+    near = sized(materialise(near)[0], F.length("__dir") + 64)  # a directory may hold a third of all rows
     out = own.join(near, "__dir", "left")
     inherits = F.col("licence").isNull() & F.col("__near").isNotNull()
     return out.select(
