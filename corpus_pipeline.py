@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from treeloom.llm import language, leakage, secrets, simhash, tokens
 from treeloom.llm._store import materialise
 
+#: Frequent words that the literal of the last stage holds.
+WORDS = 65_536
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,7 +43,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of every document."""
-    made = tokens.tokenize(docs.select("doc_id", "lang", "source", "text"), tokens.vocabulary(), keep=["doc_id", "lang", "source"])
+    # fewer words in the literal than the query of its own has: the driver holds more here; the tokens are the same
+    made = tokens.tokenize(docs.select("doc_id", "lang", "source", "text"), tokens.vocabulary(), words=WORDS, keep=["doc_id", "lang", "source"])
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
