@@ -1,7 +1,8 @@
 """Secrets in texts, with a random forest that takes the false positives out.
 
-Candidates are the words of a text that could be a secret at all: long ones with a digit or
-mixed case, and shorter ones that are assigned to something. For each the forest sees its
+Candidates are the pieces of a text, between blanks, quotes, brackets and signs that separate
+or assign, that could be a secret at all: long ones with a digit or mixed case, of any length,
+and shorter ones that are assigned to something; and known formats inside a piece. For each the forest sees its
 length, the transitions between its characters, how much of it dictionary words cover, the
 path of the text and the neighbouring words. It is trained on labelled findings and then
 stands in the plan as one SQL expression; everything here is DataFrame functions.
@@ -17,15 +18,22 @@ from pyspark.sql import functions as F
 
 from treeloom.llm import forest
 
-#: Votes that make a candidate a secret, and the lengths of candidates.
-VOTE, SHORT, LONG, LONGEST = 0.5, 8, 16, 512
+#: Votes that make a candidate a secret, and the least lengths of candidates.
+VOTE, SHORT, LONG = 0.5, 8, 16
 MASK = "[SECRET]"
 
 _KEY_WORDS = "(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|client[_-]?secret|bearer|apikey)"
 _HASH_WORDS = "(?i)(?:commit|sha-?1|sha-?256|md5|digest|checksum|integrity|etag|uuid|guid|revision|hash|build|blob)"
 _PATH_WORDS = "(?i)(?:test|example|sample|fixture|mock|doc|readme|spec|demo)"
 _FAKE_WORDS = "(?i)(?:example|sample|dummy|changeme|placeholder|your|xxxx|test|fake|redacted|0123456|abcdef|12345)"
-_KNOWN = "^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}\\.[0-9A-Za-z_-]{10,}\\.?[0-9A-Za-z_-]*|glpat-[0-9A-Za-z_-]{20,}|npm_[0-9A-Za-z]{36})$"
+_FORMATS = "(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}\\.[0-9A-Za-z_-]{10,}\\.?[0-9A-Za-z_-]*|glpat-[0-9A-Za-z_-]{20,}|npm_[0-9A-Za-z]{36})"
+_KNOWN = f"^{_FORMATS}$"
+_KNOWN_INSIDE = f"(?<![0-9A-Za-z]){_FORMATS}(?![0-9A-Za-z])"
+#: Signs between pieces; a piece may begin with the scheme of an address and end with padding.
+_SIGNS = "\"'`,;&{}()\\[\\]<>=:?|"
+_PIECE = f"(?:[A-Za-z][A-Za-z0-9+.-]{{0,20}}+://)?[^\\s{_SIGNS}]++(?:={{1,2}}(?=[\"'`]?(?:[\\s,;&{{}})\\]>|]|$)))?"
+#: A piece with the signs around it, or signs alone.
+_TOKEN = f"[{_SIGNS}]*+{_PIECE}[{_SIGNS}]*+|[{_SIGNS}]++"
 #: Words that names and prose are made of; what they leave of a candidate is its uncovered part.
 _DICTIONARY = (
     "the and ing tion ent der die das und ich ein sch que les des eau ment con para los las ado cion en er es re an in on st th ti at ed to of ha ou le de la se ra"
@@ -124,26 +132,34 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] |
 
 
 def candidates(text: Column) -> Column:
-    """(value, before, after, at) of all words that could be secrets; at counts the words of the text from 0."""
-    tokens = F.split(F.coalesce(text, F.lit("")), "\\s+")
+    """(value, before, after, at) of all pieces that could be secrets; at counts the pieces of the text from 0."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
     def of(words: Column) -> Column:
         def long_enough(x: Column, i: Column) -> Column:
-            assigned = F.contains(x, F.lit("=")) | F.contains(x, F.lit(":")) | F.get(words, i - 1).rlike("[=:][\"'(]*$")
+            assigned = x.rlike("^[\"'`(\\[{<]*[=:]") | F.get(words, i - 1).rlike("[=:][\"'`(\\[{<]*$")
             size = F.length(x)
-            return (size >= SHORT) & (size <= LONGEST) & ((size >= LONG) | F.coalesce(assigned, F.lit(False))) & x.rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z][A-Z]|[!@$%^&*+/]|AKIA[A-Z]")
+            return (size >= SHORT) & ((size >= LONG) | F.coalesce(assigned, F.lit(False))) & x.rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z][A-Z]|[!@$%^&*+/]|AKIA[A-Z]")
 
         # the filter comes first: of most words only the length is looked at
         at = F.filter(F.transform(words, lambda x, i: F.when(long_enough(x, i), i)), lambda i: i.isNotNull())
 
         def cut(i: Column) -> Column:
             x = F.get(words, i)
-            inner = F.regexp_extract(x, "^(?:[^\\s\"'=:]{1,40}[\"']?[=:]+(?!//))?[\"'(\\[{<]*(.*?)[^0-9A-Za-z=]*$", 1)
-            inside = F.regexp_extract(x, "^([^\\s\"'=:]{1,40}[\"']?[=:]+(?!//)[\"'(]*)", 1)
+            piece = F.regexp_replace(F.regexp_extract(x, f"^[{_SIGNS}]*+({_PIECE})", 1), "(?<![^0-9A-Za-z=])[^0-9A-Za-z=]++$", "")
+            inside = F.regexp_extract(x, f"^[{_SIGNS}]*+", 0)
             back = F.concat_ws(" ", F.get(words, i - 3), F.get(words, i - 2), F.get(words, i - 1), F.nullif(inside, F.lit("")))
-            return F.struct(inner.alias("value"), F.right(back, F.lit(160)).alias("before"), F.left(F.coalesce(F.get(words, i + 1), F.lit("")), F.lit(40)).alias("after"), i.alias("at"))
+            before, after = F.right(back, F.lit(160)), F.left(F.coalesce(F.get(words, i + 1), F.lit("")), F.lit(40))
 
-        return F.filter(F.transform(at, cut), lambda c: F.length(c["value"]) >= SHORT)
+            def values(v: Column) -> Column:
+                known = F.filter(F.regexp_extract_all(v, F.lit(_KNOWN_INSIDE), F.lit(0)), lambda k: k != v)
+                return F.concat(F.array(v), F.coalesce(known, F.array().cast("array<string>")))
+
+            # the piece is named once
+            found = F.flatten(F.transform(F.array(piece), values))
+            return F.transform(found, lambda v: F.struct(v.alias("value"), before.alias("before"), after.alias("after"), i.alias("at")))
+
+        return F.filter(F.flatten(F.transform(at, cut)), lambda c: F.length(c["value"]) >= SHORT)
 
     # the words are named once, so that the text is split once
     return F.flatten(F.transform(F.array(tokens), of))
@@ -152,8 +168,8 @@ def candidates(text: Column) -> Column:
 def find_secrets(docs: DataFrame, text: str = "text", path: str | None = None, findings: list | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (all, if not given) with n_candidates and secrets (kind, value, at, score) by place.
 
-    at counts words from 0; private key blocks come first, with at -1 and score 1. Null and empty texts have none; words
-    longer than LONGEST are no candidates, wherever they are; a null path counts as one without a sign of tests. Repeated
+    at counts pieces from 0; private key blocks come first, with at -1 and score 1. Null and empty texts have none; pieces
+    of any length are candidates; a null path counts as one without a sign of tests. Repeated
     rows get the same result each; input columns named as those added are replaced. No shuffle and no Python.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_candidates", "secrets")]
