@@ -248,3 +248,13 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     want = E.windowed(src, "1 day").select("start", "event_type", "n")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert E.sessions(src).agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_registered_queries_read_all_haplotypes(spark):
+    from treeloom.plans import more_queries, views
+
+    d = "/root/testdata/sf0.001"
+    n = views.haps(spark, d).select("hap").distinct().count()
+    assert {r[0] for r in more_queries._sites(spark, d).select(F.length("gt")).collect()} == {n} and n > 24
+    trees = views.trees(spark, d).count()
+    assert trees > 3 and more_queries.m01(spark, d).select("tree_id").distinct().count() == trees

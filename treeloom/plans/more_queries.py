@@ -197,10 +197,9 @@ def a22(spark, d):
     return mutation.mean_rate(out).select("epoch", r6("rate").alias("rate"))
 
 
-# ---- kernels on the sign haplotypes of the embeddings: the first 24 vectors ----
-def _sites(spark, d, n: int = 24):
-    s = views.sites(spark, d).select("chrom", "snp_id", "pos", "rsid", "anc", "alt", F.substring("gt", 1, n).alias("gt"))
-    return cleaning.segregating(s)
+# ---- kernels on the sign haplotypes of the embeddings: all vectors ----
+def _sites(spark, d):
+    return cleaning.segregating(views.sites(spark, d).select("chrom", "snp_id", "pos", "rsid", "anc", "alt", "gt"))
 
 
 def _chunks(spark, d):
@@ -228,7 +227,8 @@ def o07(spark, d):
 @query("m01_m07_map_sites")
 def m01(spark, d):
     t = views.trees(spark, d)
-    s = _sites(spark, d, 8).select("snp_id", "gt").crossJoin(F.broadcast(t.select("chrom", "tree_id").where("tree_id < 3")))
+    # the tips of the view's trees are its first haplotypes, views.TIPS of them; the trees have no others
+    s = cleaning.segregating(views.sites(spark, d).withColumn("gt", F.substring("gt", 1, views.TIPS))).select("snp_id", "gt").crossJoin(F.broadcast(t.select("chrom", "tree_id")))
     return inference.map_sites(t, s)
 
 
@@ -246,7 +246,7 @@ def m11(spark, d):
 
 @query("p19_posterior_lengths")
 def p19(spark, d):
-    s = inference.prepare(_sites(spark, d, 8))
+    s = inference.prepare(_sites(spark, d))
     g = inference.merge_chunks(inference.build_topology(inference.make_chunks(s, 40, 10), 0.01))
     out = inference.dated(g, s, 1e-5, 1000.0, most=500)
     return trees.tmrca(trees.with_heights(out.select("chrom", "tree_id", "nodes"))).select("tree_id", r6("tmrca").alias("tmrca"))
@@ -254,7 +254,7 @@ def p19(spark, d):
 
 @query("p22_posterior_samples")
 def p22(spark, d):
-    s = inference.prepare(_sites(spark, d, 8))
+    s = inference.prepare(_sites(spark, d))
     g = inference.merge_chunks(inference.build_topology(inference.make_chunks(s, 40, 10), 0.01))
     out = inference.dated(g, s, 1e-5, 1000.0, samples=2)
     return out.select("tree_id", F.size("samples").alias("n"), r6(F.aggregate(F.col("samples")[1], F.lit(0.0), lambda a, x: a + x)).alias("total_length"))
@@ -335,7 +335,7 @@ def o10(spark, d):
     s = cleaning.unique_positions(views.sites(spark, d))
     s = cleaning.polarise(s, F.substring(F.lit("ACGT"), (F.col("snp_id") * 3 % 4 + 1).cast("int"), F.lit(1)))
     s = cleaning.remove_haplotypes(s, list(range(0, 40)))
-    counts = cleaning.group_counts(views.haps(spark, d).where("hap < 40").withColumn("grp", F.col("grp").cast("string")))
+    counts = cleaning.group_counts(views.haps(spark, d).withColumn("grp", F.col("grp").cast("string")))
     return cleaning.annotate(s.withColumn("seq", F.repeat(F.lit("ACGTTGCA"), 2000)), "seq", counts).select("snp_id", "pos", "anc", "alt", "upstream", "downstream", F.size("freq").alias("n_groups"))
 
 
