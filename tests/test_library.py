@@ -258,3 +258,27 @@ def test_registered_queries_read_all_haplotypes(spark):
     assert {r[0] for r in more_queries._sites(spark, d).select(F.length("gt")).collect()} == {n} and n > 24
     trees = views.trees(spark, d).count()
     assert trees > 3 and more_queries.m01(spark, d).select("tree_id").distinct().count() == trees
+
+
+def test_dating_is_not_cut_below_the_kernel(spark, monkeypatch):
+    from treeloom.kernels import dating
+
+    g = spark.createDataFrame([(1, 0, [(2, 1.0), (2, 2.0), (-1, 0.0)])], "chrom int, tree_id int, nodes array<struct<parent:int,num_events:double>>")
+    node = "transform(nodes, x -> struct(x.parent as parent, 0.0D as branch_length, x.num_events as num_events, 0 as snp_begin, 0 as snp_end))"
+    g = g.withColumn("nodes", F.expr(node))
+    s = spark.createDataFrame([(1, 10, 5)], "chrom int, pos long, dist long")
+    own = int(np.random.SeedSequence([1, 0, *b"1"]).generate_state(1)[0])
+    t = dating.Tree([2, 2, -1])
+    want = dating.posterior_samples(t, [1.0, 2.0, 0.0], np.zeros(3), 1, None, own) * 2000.0
+    got = inference.dated(g, s, 0.0, 1000.0, samples=1).first()["samples"]
+    assert np.allclose(got, want)
+
+    def move(self):
+        self.moves = getattr(self, "moves", 0) + 1
+        self.proposals[:] = dating.PROPOSALS if self.moves > 250_000 else 0
+        ended.append(self.moves) if self.moves > 250_000 else None
+
+    ended = []
+    monkeypatch.setattr(dating.Chain, "move", move)
+    dating.posterior_mean(t, [1.0, 2.0, 0.0], np.zeros(3))
+    assert ended

@@ -101,7 +101,7 @@ def merge_chunks(built: DataFrame, by: list[str] = ["chrom"]) -> DataFrame:  # n
     return rows.withColumn("tree_id", (F.row_number().over(Window.partitionBy(*by).orderBy("start_snp")) - 1).cast("int")).drop("chunk", "tree")
 
 
-def dated(genealogy: DataFrame, sites: DataFrame, mu: float, ne: float, rates: dating.Rates | None = None, seed: int = 1, samples: int | None = None, ages: list[float] | None = None, most: int = 20_000, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
+def dated(genealogy: DataFrame, sites: DataFrame, mu: float, ne: float, rates: dating.Rates | None = None, seed: int = 1, samples: int | None = None, ages: list[float] | None = None, most: int | None = None, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
     """genealogy with branch lengths in generations: posterior means, or `samples` of them in an array column.
 
     Every tree is a row's work. The seed of a tree is hashed from its place, so that a lost task repeats its result. Bases
@@ -131,7 +131,7 @@ def dated(genealogy: DataFrame, sites: DataFrame, mu: float, ne: float, rates: d
                 if samples is None:
                     out.append([(dating.posterior_mean(t, events, exposure, rates, own, most) * scale).tolist()])
                 else:
-                    out.append((dating.posterior_samples(t, events, exposure, samples, rates, own, between=50 * max(t.n // 10, 10)) * scale).tolist())
+                    out.append((dating.posterior_samples(t, events, exposure, samples, rates, own) * scale).tolist())
             yield pd.DataFrame({**{k: batch[k] for k in by}, "tree_id": batch["tree_id"], "__lengths": out})
 
     types = dict(genealogy.dtypes)
@@ -155,7 +155,7 @@ def mutations(genealogy: DataFrame, by: list[str] = ["chrom"]) -> DataFrame:  #
     return out.withColumn("age_end", F.coalesce("__top", "age_begin")).drop("__top", "parent")
 
 
-def infer(sites: DataFrame, mu: float, ne: float, genmap: DataFrame | None = None, theta: float = 0.001, chunk: int = 500, overlap: int = 100, rates: dating.Rates | None = None, seed: int = 1, ages: list[float] | None = None, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def infer(sites: DataFrame, mu: float, ne: float, genmap: DataFrame | None = None, theta: float = 0.001, chunk: int = 500, overlap: int = 100, rates: dating.Rates | None = None, seed: int = 1, ages: list[float] | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(genealogy, mutations) of clean sites: chunk, paint and build, follow branches, merge, date, annotate."""
     ready = prepare(sites, genmap)
     built = merge_chunks(build_topology(make_chunks(ready, chunk, overlap), theta))

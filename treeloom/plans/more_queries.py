@@ -248,7 +248,7 @@ def m11(spark, d):
 def p19(spark, d):
     s = inference.prepare(_sites(spark, d))
     g = inference.merge_chunks(inference.build_topology(inference.make_chunks(s, 40, 10), 0.01))
-    out = inference.dated(g, s, 1e-5, 1000.0, most=500)
+    out = inference.dated(g, s, 1e-5, 1000.0)
     return trees.tmrca(trees.with_heights(out.select("chrom", "tree_id", "nodes"))).select("tree_id", r6("tmrca").alias("tmrca"))
 
 
