@@ -69,3 +69,16 @@ def test_odd_rows(spark):
     assert L.known(df).columns == df.columns
     assert {r["lang_pred"] for r in L.identify(df, L.learn(df.limit(0))).collect()} == {"und"}
     assert L.identify(df.limit(0), model).count() == 0
+
+
+def test_copies_rare_languages_and_letters(spark):
+    """Copies don't use up the sample, no language is dropped, and each script's letters are told apart."""
+    rnd = np.random.default_rng(3)
+    say = lambda letters: "".join(rnd.choice(list(letters), 240))
+    rows = [("copies here " * 20, "aa")] * 400 + [(say("klmnop "), "aa") for _ in range(20)] + [(say("qrst "), "bb") for _ in range(3)]
+    rows += [(say("abcd ") + f" {i}", f"k{i:02}") for i in range(70) for _ in range(2)]
+    scripts = ["".join(chr(b + i) for i in range(60)) for b in (0x4E00, 0x5E00, 0x6E00)]
+    rows += [(say(x), f"s{i}") for i, x in enumerate(scripts) for _ in range(4)]
+    model = L.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert {r[1] for r in rows} == set(model["languages"]) and set("".join(scripts)) <= set(model["alphabet"])
+    assert L.predict([say("klmnop "), say("qrst "), *(say(x) for x in scripts)], model)[0] == ["aa", "bb", "s0", "s1", "s2"]

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the labelled sample: symbols of all languages together and of one, rows of one, and languages (the most
-#: frequent, ties by name). The automata that a worker holds are bounded by them.
-SAMPLE_SYMBOLS, LANGUAGE_SYMBOLS, LANGUAGE_ROWS, LANGUAGES = 160_000, 40_000, 128, 64
-#: Letters with a symbol of their own; other letters share one, all else is a gap.
+#: Bounds of the labelled sample: symbols of all languages together and of one, and different texts of one. Every
+#: language has LEAST_SYMBOLS, even if all together then have more.
+SAMPLE_SYMBOLS, LANGUAGE_SYMBOLS, LANGUAGE_ROWS, LEAST_SYMBOLS = 160_000, 40_000, 128, 2_500
+#: Letters of the sample, the most frequent first, whose steps are in a table; those of the others are in a sorted list.
 LETTERS = 46
 #: Phrases don't cross the ends of blocks of so many symbols, so that many blocks are read at once.
 BLOCK = 1024
@@ -52,7 +52,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def _table(alphabet: str) -> np.ndarray:
     if alphabet not in _tables:
-        table = _is_letter().copy()
+        table = _is_letter().astype(np.uint32)
         for i, c in enumerate(alphabet):
             table[ord(c)] = i + 2
         _tables.clear()
@@ -60,8 +60,8 @@ def _table(alphabet: str) -> np.ndarray:
     return _tables[alphabet]
 
 
-def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """Steps of the smallest automaton of all substrings: [state, symbol] -> state, -1 where none is; 0 is the start."""
+def _steps(codes: np.ndarray) -> list[dict[int, int]]:
+    """Steps of the smallest automaton of all substrings; 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -88,27 +88,59 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return step
+
+
+def _tabled(step: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The steps by symbols below size as a table, those by others as sorted keys (state and symbol) and states."""
     table = np.full((len(step), size), -1, np.int32)
+    rare = []
     for i, x in enumerate(step):
         for c, to in x.items():
-            table[i, c] = to
-    return table
+            if c < size:
+                table[i, c] = to
+            else:
+                rare.append((i << 21 | c, to))
+    keys, to = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+    return table, np.ascontiguousarray(keys), np.ascontiguousarray(to)
+
 
+def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
+    """The smallest automaton of all substrings of symbols below size: [state, symbol] -> state, -1 where none is."""
+    return _tabled(_steps(codes), size)[0]
+
+
+def phrases(automaton: np.ndarray, columns: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None = None, to: np.ndarray | None = None) -> np.ndarray:
+    """Phrases of each block: columns[t, b] is symbol t of block b; blocks are sorted by length, longest first.
 
-def phrases(automaton: np.ndarray, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each block: columns[t, b] is symbol t of block b; blocks are sorted by length, longest first."""
+    keys and to: the steps by symbols that the table of the automaton has no column for.
+    """
     flat, size = automaton.ravel(), automaton.shape[1]
-    fresh = automaton[0]
+    many = keys is not None and columns.size > 0 and int(columns.max()) >= size
+
+    def step(state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if not many:
+            return flat[state * size + c]
+        now = flat[state * size + np.minimum(c, size - 1)]
+        rare = np.flatnonzero(c >= size)
+        if len(rare):
+            now[rare] = -1
+            if len(keys):
+                wanted = state[rare] << 21 | c[rare].astype(np.int64)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                now[rare] = np.where(keys[at] == wanted, to[at], -1)
+        return now
+
     state = np.zeros(len(lengths), np.int64)
     count = np.zeros(len(lengths), np.int64)
     active = np.searchsorted(-lengths, -np.arange(1, len(columns) + 1), "right")
     for t in range(len(columns)):
         n = int(active[t])
         c = columns[t, :n]
-        now = flat[state[:n] * size + c]
+        now = step(state[:n], c)
         missed = np.flatnonzero(now < 0)
         count[missed] += state[missed] > 0
-        again = fresh[c[missed]]
+        again = step(np.zeros(len(missed), np.int64), c[missed])
         count[missed] += again < 0  # a symbol that the language lacks is a phrase of its own
         now[missed] = np.maximum(again, 0)
         state[:n] = now
@@ -119,19 +151,20 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """{alphabet, languages: {lang: symbols as bytes}} from labelled rows; rows without text or label don't count."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    kinds = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    each = min(LANGUAGE_SYMBOLS, SAMPLE_SYMBOLS // max(1, len(kinds)))
+    kinds = rows.select("lang").distinct().count()
+    each = min(LANGUAGE_SYMBOLS, max(LEAST_SYMBOLS, SAMPLE_SYMBOLS // max(1, kinds)))
     if not kinds:
         return {"alphabet": "", "languages": {}}
     order = Window.partitionBy("lang").orderBy(F.col("n").between(200, each).desc(), "h")
-    picked = rows.where(F.col("lang").isin(kinds)).select("lang", "h", F.length("text").alias("n")).withColumn("k", F.row_number().over(order))
+    # copies count once
+    picked = rows.select("lang", "h", F.length("text").alias("n")).distinct().withColumn("k", F.row_number().over(order))
     picked = picked.where(F.col("k") <= LANGUAGE_ROWS).select("lang", "h").distinct()
     sample: dict[str, list] = {}
-    # LANGUAGES times LANGUAGE_ROWS short rows at most
+    # LANGUAGE_ROWS short rows of each language at most
     for r in rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", F.left("text", F.lit(2 * each)).alias("text")).distinct().collect():
         sample.setdefault(r["lang"], []).append((not 200 <= len(r["text"]) <= each, r["h"], r["text"]))
     letters = Counter(c for x in sample.values() for *_, t in x for c in t.lower() if c.isalpha())
-    alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
+    alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])))
     languages = {}
     for k in sorted(sample):
         codes = symbols(" ".join(t for *_, t in sorted(sample[k])), alphabet)[:each]
@@ -143,12 +176,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
 _models: dict[tuple, list] = {}
 
 
-def _automata(model: dict) -> list[tuple[str, float, np.ndarray]]:
+def _automata(model: dict) -> list[tuple[str, float, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Language, bits of a phrase and automaton; built once in a worker."""
     key = (model["alphabet"], tuple(model["languages"].items()))
     if key not in _models:
         _models.clear()
-        _models[key] = [(k, float(np.log2(len(v) + 1)), suffix_automaton(np.frombuffer(v, np.uint8), LETTERS + 2)) for k, v in model["languages"].items()]
+        _models[key] = [(k, float(np.log2(len(v) // 4 + 1)), _tabled(_steps(np.frombuffer(v, np.uint32)), LETTERS + 2)) for k, v in model["languages"].items()]
     return _models[key]
 
 
@@ -163,12 +196,12 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
     def read() -> None:
         pieces.sort(key=lambda x: -len(x[1]))
         lengths = np.array([len(x) for _, x in pieces])
-        columns = np.zeros((int(lengths[0]), len(pieces)), np.uint8)
+        columns = np.zeros((int(lengths[0]), len(pieces)), np.uint32)
         for b, (_, x) in enumerate(pieces):
             columns[: len(x), b] = x
         owner = np.array([i for i, _ in pieces])
-        for k, (_, bits, automaton) in enumerate(automata):
-            np.add.at(total[k], owner, phrases(automaton, columns, lengths) * bits)
+        for k, (_, bits, (automaton, keys, to)) in enumerate(automata):
+            np.add.at(total[k], owner, phrases(automaton, columns, lengths, keys, to) * bits)
         pieces.clear()
 
     held = 0
@@ -202,7 +235,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_SYMBOLS bytes at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a few bytes for each symbol of the sample
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
