@@ -55,22 +55,20 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], lpos: str, rpos: str
     order of their values counts (the first, if forward).
     """
     rows = _merged(left, right, by, lpos, rpos, values)
-    if forward:
-        w = Window.partitionBy(*by).orderBy(F.col("__pos"), F.col("__side").desc(), F.col("__value")).rowsBetween(0, Window.unboundedFollowing)
-        near = F.first("__value", ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy(*by).orderBy(F.col("__pos"), F.col("__side"), F.col("__value")).rowsBetween(Window.unboundedPreceding, 0)
-        near = F.last("__value", ignorenulls=True).over(w)
-    return rows.withColumn("__near", near).where("__side = 1").select("__row.*", "__near.*")
+    return rows.withColumn("__near", _carried(by, forward, "__side" if not forward else "-__side")).where("__side = 1").select("__row.*", "__near.*")
+
+
+def _carried(by: list[str], forward: bool, side: str) -> Column:
+    """The last value at or before each row; or the first at or after it, read from the end: a frame that only grows costs one pass."""
+    order = [F.col("__pos"), F.expr(side), F.col("__value")]
+    order = [c.desc() for c in order] if forward else order
+    return F.last("__value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def interpolate(sites: DataFrame, genmap: DataFrame, by: list[str], pos: str = "pos", bp: str = "bp", cm: str = "cm") -> DataFrame:
     """sites with rpos: genetic position in Morgans, linear between the map's points; constant before the first and after the last."""
     rows = _merged(sites, genmap, by, pos, bp, [cm])
-    order = [F.col("__pos"), F.col("__side"), F.col("__value")]
-    before = F.last("__value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"__b": before, "__a": after}).where("__side = 1")
+    rows = rows.withColumns({"__b": _carried(by, False, "__side"), "__a": _carried(by, True, "__side")}).where("__side = 1")
     x, x0, x1, y0, y1 = F.col("__pos"), F.col("__b.at"), F.col("__a.at"), F.col(f"__b.{cm}"), F.col(f"__a.{cm}")
     value = F.when(x0.isNull(), y1).when(x1.isNull() | (x1 == x0), y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
     return rows.select("__row.*", (value * 0.01).alias("rpos"))

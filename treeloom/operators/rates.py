@@ -104,11 +104,12 @@ def tree_events(heights: DataFrame, epochs: DataFrame, spans: DataFrame, block:
     """
     w = Window.partitionBy("chrom").orderBy("tree_id")
     blocks = spans.select(*keys, "span", F.floor((F.row_number().over(w) - 1) / block).cast("int").alias("block"))
-    rows = tree_segments(heights, keys).join(blocks, keys).withColumn("__w", F.col("span") / 1e9)
+    rows = tree_segments(heights, keys).join(blocks, keys)
     k = F.col("lineages")
-    exposed = with_epochs(rows, epochs).groupBy("chrom", "block", "epoch").agg(F.sum(F.col("shared") * k * (k - 1) / 2 * F.col("__w")).alias("denom"))
+    # the unit divides the sums: sums of whole bases and generations are exact in whatever order they are added
+    exposed = with_epochs(rows, epochs).groupBy("chrom", "block", "epoch").agg((F.sum(F.col("shared") * k * (k - 1) / 2 * F.col("span")) / 1e9).alias("denom"))
     events = rows.join(F.broadcast(epochs), (F.col("lo") < F.col("age_end")) & (F.col("age_end") <= F.col("hi")))
-    events = events.groupBy("chrom", "block", "epoch").agg(F.sum(F.col("ends") * F.col("__w")).alias("num"))
+    events = events.groupBy("chrom", "block", "epoch").agg((F.sum(F.col("ends") * F.col("span")) / 1e9).alias("num"))
     both = exposed.join(events, ["chrom", "block", "epoch"], "full_outer")
     return both.select("chrom", "block", "epoch", F.coalesce("num", F.lit(0.0)).alias("num"), F.coalesce("denom", F.lit(0.0)).alias("denom"))
 

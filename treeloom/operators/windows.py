@@ -80,7 +80,7 @@ def carried_rates(rates: DataFrame, by: list[str], epoch: str = "epoch", rate: s
     """rates with zero and missing values taken from the last epoch that has one, else from the next, else 1."""
     known = F.when(F.col(rate) > 0, F.col(rate))
     back = F.last(known, ignorenulls=True).over(_along(by, epoch).rowsBetween(Window.unboundedPreceding, 0))
-    on = F.first(known, ignorenulls=True).over(_along(by, epoch).rowsBetween(0, Window.unboundedFollowing))
+    on = F.last(known, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(epoch)).rowsBetween(Window.unboundedPreceding, 0))
     return rates.withColumn(rate, F.coalesce(back, on, F.lit(1.0)))
 
 

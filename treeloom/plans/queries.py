@@ -80,8 +80,8 @@ events_ij AS (SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(
   FROM pair_exposure a FULL JOIN pair_events b ON a.i = b.i AND a.j = b.j AND a.epoch = b.epoch)"""
 views._NEEDS["events_ij"] = ["pairs", "spans", "epochs"]
 views.SQL["tree_events"] = """tree_blocks AS (SELECT chrom, tree_id, span, CAST((row_number() OVER (PARTITION BY chrom ORDER BY tree_id) - 1) // 2 AS INTEGER) AS block FROM spans),
-t_exp AS (SELECT s.chrom, block, epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) * k * (k - 1) / 2 * span / 1e9) AS denom FROM segments s JOIN tree_blocks USING (chrom, tree_id) JOIN epochs ON lo < age_end AND hi > age_begin GROUP BY 1, 2, 3),
-t_ev AS (SELECT s.chrom, block, epoch, sum(ends * span / 1e9) AS num FROM segments s JOIN tree_blocks USING (chrom, tree_id) JOIN epochs ON lo < age_end AND age_end <= hi GROUP BY 1, 2, 3),
+t_exp AS (SELECT s.chrom, block, epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) * k * (k - 1) / 2 * span) / 1e9 AS denom FROM segments s JOIN tree_blocks USING (chrom, tree_id) JOIN epochs ON lo < age_end AND hi > age_begin GROUP BY 1, 2, 3),
+t_ev AS (SELECT s.chrom, block, epoch, sum(ends * span) / 1e9 AS num FROM segments s JOIN tree_blocks USING (chrom, tree_id) JOIN epochs ON lo < age_end AND age_end <= hi GROUP BY 1, 2, 3),
 tree_events AS (SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.block, b.block) AS block, coalesce(a.epoch, b.epoch) AS epoch, coalesce(num, 0.0) AS num, coalesce(denom, 0.0) AS denom
   FROM t_exp a FULL JOIN t_ev b ON a.chrom = b.chrom AND a.block = b.block AND a.epoch = b.epoch)"""
 views._NEEDS["tree_events"] = ["spans", "segments", "epochs"]
@@ -395,9 +395,9 @@ def a13(spark, d):
     return views.table(spark, d, "embeddings").groupBy((F.col("label") * 100).cast("double").alias("age")).agg(F.count("*").alias("n"))
 
 
-@query("a14_tree_events", sql("SELECT chrom, block, epoch, round(num, 6) AS num, round(denom, 6) AS denom FROM tree_events", "tree_events"))
+@query("a14_tree_events", sql("SELECT chrom, block, epoch, num::DOUBLE AS num, denom::DOUBLE AS denom FROM tree_events", "tree_events"))
 def a14(spark, d):
-    return tree_table(spark, d).select("chrom", "block", "epoch", r6("num").alias("num"), r6("denom").alias("denom"))
+    return tree_table(spark, d).select("chrom", "block", "epoch", "num", "denom")
 
 
 @query("a15_block_bootstrap")
