@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -25,6 +26,29 @@ def test_tokens_are_those_of_the_library(spark, encoding, words):
     assert K.tokenize(df.limit(0), K.vocabulary(), words=words).count() == 0
 
 
+def test_long_words_grow_with_their_length(spark, encoding):
+    rnd = random.Random(3)
+    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = ["a" * 61, "ab" * 700, "=" * 700, "-=" * 300, pick("ab", 2000), pick("etaoinshr", 100_000), "ÄÖ字" * 200, "1" * 999, " " * 500 + "x", pick("aä字🙂", 300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in K.tokenize(df, K.vocabulary(), words=0).collect():
+        assert r["ids"] == encoding.encode_ordinary(r["text"]) and bytes(r["decoded"]).decode() == r["text"]
+
+
+def test_every_token_is_the_merge_of_its_own_bytes(spark, encoding):
+    v = K.vocabulary()
+    tables = K._tables(spark, v)
+    sample = [i for i in range(0, len(v.tokens), 7) if v.tokens[i]]
+    df = spark.createDataFrame([(i, bytearray(v.tokens[i])) for i in sample], "i int, b binary")
+    made = df.select("i", K.bound(tables, K._FOLD, lambda t: K.fold(df["b"], t, v)).alias("ids")).collect()
+    assert all(r["ids"] == [r["i"]] for r in made)
+
+
+def test_full_tables_leave_keys_out():
+    at = K._places([0] * 5 + [3], [1] * 5 + [4], 7)
+    assert sorted(x for x in at.tolist() if x >= 0)[-1] == 5 and (at >= 0).sum() == 3
+
+
 def test_query(spark, encoding):
     out = K.op5_bpe(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -1,12 +1,13 @@
 """Byte-level BPE in Spark's own higher-order functions.
 
-A word becomes the array of its bytes' ranks; a fold merges the neighbours with the smallest
-rank, the leftmost first, until no two neighbours form a token. The ranks of all pairs are
-one literal of the plan: a flat table in which each pair has one of two places, so a look-up
-costs the same for every pair. Distinct words that are frequent in a bounded sample are
-folded once and their tokens are part of the literal, too; all other words are folded where
-they stand, so the result doesn't depend on the sample. Decoding concatenates the bytes of
-the tokens. Texts are never shuffled.
+Every span of a word's bytes that is a token is a possible merge; a fold takes them by rank,
+the leftmost first, and makes those whose two parts stand by then. The borders between tokens
+are the bits of one number, so a step is a comparison. Ranks are a literal of the plan: a flat
+table in which each token has one of two places, so a look-up costs the same for all. Distinct
+words that are frequent in a bounded sample are folded once and their tokens are part of the
+literal, too; all other words are folded where they stand, so the result doesn't depend on the
+sample. A long word is folded in pieces of bounded size, as an array of neighbours, so its time
+grows with its length. Decoding concatenates the bytes of the tokens. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ WORDS, SAMPLE, SAMPLE_SIGNS = 262_144, 24_576, 16_384
 #: Longest word in the literal, in bytes.
 WORD_BYTES = 48
 
+#: A neighbour in a fold is one number: rank of its pair with the next (17 bits), its place in the word (29), its token (17).
+_TOKEN, _PLACE, _NONE = (1 << 17) - 1, ((1 << 29) - 1) << 17, (1 << 17) - 1
+#: Bytes of a word that are folded at once; of a longer word so many bytes at a time, after the last KEEP tokens before them.
+WHOLE, PIECE, KEEP = 60, 64, 4
+#: An entry of the table of tokens: bits of the hash above _SPLIT, the token (17 bits) above _ID, the length of its left part (6).
+_SPLIT, _ID = 35, 18
+
 _SPACE = r"\t-\r \x85\xA0  -     　"
 
 
@@ -46,7 +55,7 @@ def pattern_in_java(pattern: str) -> str:
 
 
 def _places(first: list[int], second: list[int], size: int) -> np.ndarray:
-    """The number of the key at each place, -1 where none is; a key is at one of its two places.
+    """The number of the key at each place, -1 where none is; a key is at one of its two places, or left out where they are taken.
 
     A key goes to its first place always and moves on only for another, so one at its second place has a taken first.
     """
@@ -60,8 +69,6 @@ def _places(first: list[int], second: list[int], size: int) -> np.ndarray:
                 break
             a, b = first[now], second[now]
             at = b if at == a else a if at == b else rnd.choice((a, b))
-        else:
-            raise ValueError("no room in the table")
     return np.array(table, np.int64)
 
 
@@ -74,28 +81,46 @@ class Vocabulary:
         self.tokens = [b""] * (max(of.values()) + 1)
         for t, r in of.items():
             self.tokens[r] = t
-        byte_hash = [zlib.crc32(bytes([b])) for b in range(256)]
-        self.byte_size = next(m for m in range(256, 1 << 20) if len({h % m for h in byte_hash}) == 256)
-        self.bytes = [0] * self.byte_size
+        self.bytes = [0] * 256
         for b in range(256):
-            self.bytes[byte_hash[b] % self.byte_size] = of[bytes([b])]
-        pairs = {}
-        for t, r in of.items():
-            for i in range(1, len(t)):
-                if t[:i] in of and t[i:] in of:
-                    pairs[of[t[:i]] << 16 | of[t[i:]]] = r
-        self.pair_size = 5 * len(pairs) | 1
-        keys = np.array(sorted(pairs), np.int64)
-        table = _places((keys % self.pair_size).tolist(), ((keys * 1_103_515_245 >> 15) % self.pair_size).tolist(), self.pair_size)
-        entries = np.append(keys << 17 | np.array([pairs[k] for k in keys.tolist()], np.int64), -1)
-        self.pairs = entries[table]
-        if len(self.tokens) > 1 << 16:
-            raise ValueError("ids of more than 16 bits")
+            self.bytes[zlib.crc32(bytes([b])) & 0xFF] = of[bytes([b])]  # all different there
+        if len(self.tokens) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits, or the last of them, which ends a word")
+        left = {t: len(_parts(t, of, r)[0]) if 1 < len(t) <= WHOLE else 0 for t, r in of.items()}
+        self.span_size = 1 << (5 * len(left)).bit_length()
+        h = np.array([xxhash.xxh64_intdigest(t, 42) for t in left], np.uint64).view(np.int64)
+        table = np.full(1, -1)
+        while (table >= 0).sum() < len(left):  # every token has its place
+            table = _places((h & self.span_size - 1).tolist(), ((h >> 20) & self.span_size - 1).tolist(), self.span_size)
+            self.span_size <<= int((table >= 0).sum() < len(left))
+        entries = h >> _SPLIT << _SPLIT | np.array([of[t] << _ID | k for t, k in left.items()], np.int64)
+        self.spans = np.append(entries, 0)[table]
+        # by a hash of four bytes: the longest token that begins with them
+        self.reach = np.full(1 << 16, 3, np.int64)
+        for t in left:
+            if 3 < len(t) <= WHOLE:
+                at = xxhash.xxh64_intdigest(t[:4], 42) & 0xFFFF
+                self.reach[at] = max(self.reach[at], len(t))
+        # by length << 6 | length of the left part: all borders of a span, and those that stand before its parts are merged
+        shapes = [(n, k) for n in range(WHOLE + 1) for k in range(64)]
+        self.borders = [(1 << n + 1) - 1 for n, _ in shapes]
+        self.standing = [1 | 1 << min(k, n) | 1 << n for n, k in shapes]
+
+
+def _parts(token: bytes, of: dict[bytes, int], rank: int) -> list[bytes]:
+    """The two tokens that the last merge of a token joins: what merges of smaller rank make of its bytes."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        r, i = min((of.get(parts[i] + parts[i + 1], rank), i) for i in range(len(parts) - 1))
+        if r >= rank:
+            raise ValueError(f"no merges make the token {token!r}")
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body with value evaluated once: the finish of a fold over nothing, which asks for no types and copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def bound(t: Tables, names: list[str], body: Callable[[Tables], Column]) -> Column:
@@ -107,49 +132,149 @@ def bound(t: Tables, names: list[str], body: Callable[[Tables], Column]) -> Colu
     return more(0, {})
 
 
-#: A neighbour in a fold is one number: rank of its pair with the next (17 bits), its place in the word (29), its token (17).
-_TOKEN, _PLACE, _NONE = (1 << 17) - 1, ((1 << 29) - 1) << 17, (1 << 17) - 1
 
+def _found(span: Column, t: Tables, v: Vocabulary) -> Column:
+    """token << _ID | length of its left part, of a span of bytes; null if it is none."""
+    mask, low = v.span_size - 1, (1 << _SPLIT) - 1
+    # most spans are none and have an empty place: what they don't need is not named beforehand
+    h = F.xxhash64(span)
 
-def fold(word: Column, t: Tables, v: Vocabulary) -> Column:
-    """The tokens of one word: the ranked merges of its bytes. t: the tables.
+    def at(place: Column, other: Column | None) -> Column:
+        def looked(e: Column) -> Column:
+            same = F.when(F.shiftrightunsigned(e.bitwiseXOR(h), _SPLIT) == 0, F.get(t["pieces"], F.shiftright(e.bitwiseAND(low), _ID).cast("int")) == span).otherwise(F.lit(False))
+            found = F.when(e == 0, F.lit(None).cast("long")).when(same, e.bitwiseAND(low))
+            # a token is at its second place only if its first is taken
+            return found if other is None else found.otherwise(other)
+
+        return let(F.get(t["spans"], place.bitwiseAND(mask).cast("int")), looked)
+
+    return at(h, at(F.shiftright(h, 20), None))
+
+
+def _folded(data: Column, t: Tables, v: Vocabulary) -> Column:
+    """The tokens of binary data, not empty: the ranked merges of its bytes, as an array of neighbours.
 
     The smallest number is the leftmost neighbour of the smallest rank. The rank of a pair is the token that it makes.
+    The ends of the array are no tokens, so that each neighbour has one on either side.
     """
+    none = F.lit(_NONE << 46)
 
     def rank(a: Column, b: Column) -> Column:
-        def found(key: Column) -> Column:
-            one = F.get(t["pairs"], (key % v.pair_size).cast("int"))
-            two = F.get(t["pairs"], (F.shiftright(key * 1_103_515_245, 15) % v.pair_size).cast("int"))
-            # a pair is at its second place only if its first is taken
-            return F.when(F.shiftright(one, 17) == key, one.bitwiseAND(_TOKEN)).when(one < 0, _NONE).when(F.shiftright(two, 17) == key, two.bitwiseAND(_TOKEN)).otherwise(_NONE)
-
-        return F.shiftleft(let(a.bitwiseAND(_TOKEN) * 65_536 + b.bitwiseAND(_TOKEN), found), 46)
+        """Of two neighbours or ends, shifted to its place."""
+        pair = F.concat(F.get(t["pieces"], a.bitwiseAND(_TOKEN).cast("int")), F.get(t["pieces"], b.bitwiseAND(_TOKEN).cast("int")))
+        return F.coalesce(let(pair, lambda x: F.shiftleft(F.shiftright(_found(x, t, v), _ID), 46)), none)
 
     def step(s: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
-            made = F.shiftright(m, 46)
-
             def at(p: Column) -> Column:
-                def renewed(x: Column, i: Column) -> Column:
-                    own = F.coalesce(rank(made, F.get(s, p + 1)), F.lit(_NONE << 46)).bitwiseOR(m.bitwiseAND(_PLACE)).bitwiseOR(made)
-                    left = rank(x, made).bitwiseOR(x.bitwiseAND(_PLACE | _TOKEN))
-                    return F.when(i == p - 1, own).when(i == p - 2, left).otherwise(x)
-
-                return F.transform(F.filter(s, lambda x, i: i != p), renewed)
+                made, left = F.shiftright(m, 46), F.get(s, p - 2)
+                two = F.array(left.bitwiseAND(_PLACE | _TOKEN).bitwiseOR(rank(left, made)), m.bitwiseAND(_PLACE).bitwiseOR(made).bitwiseOR(rank(made, F.get(s, p + 1))))
+                return F.concat(F.slice(s, F.lit(1), p - 2), two, F.slice(s, p + 2, F.size(s)))
 
-            return F.when(m >= _NONE << 46, s).otherwise(let(F.array_position(s, m).cast("int"), at))
+            return F.when(m >= none, s).otherwise(let(F.array_position(s, m).cast("int"), at))
 
         return let(F.array_min(s), merged)
 
+    def run(parts: Column) -> Column:
+        end = F.array(F.lit(_NONE << 46 | 0xFFFF))
+        start = F.concat(end, F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, rank(x, F.get(parts, i + 1))).otherwise(none).bitwiseOR(F.shiftleft(i.cast("long"), 17)).bitwiseOR(x)), end)
+        # as many steps as bytes have neighbours
+        return let(start, lambda s: F.aggregate(F.slice(s, F.lit(4), F.size(s)), s, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(_TOKEN).cast("int"))))
+
     def of_bytes(data: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.get(t["bytes"], (F.crc32(F.substring(data, i, F.lit(1))) % v.byte_size).cast("int")).cast("long"))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.get(t["bytes"], F.crc32(F.substring(data, i, F.lit(1))).bitwiseAND(0xFF).cast("int")).cast("long"))
 
-    def run(parts: Column) -> Column:
-        start = F.transform(parts, lambda x, i: F.coalesce(rank(x, F.get(parts, i + 1)), F.lit(_NONE << 46)).bitwiseOR(F.shiftleft(i.cast("long"), 17)).bitwiseOR(x))
-        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: F.transform(s, lambda x: x.bitwiseAND(_TOKEN).cast("int")))
+    return let(let(data, of_bytes), run)
+
+
+def _folded_as_bits(data: Column, t: Tables, v: Vocabulary) -> Column:
+    """The same for WHOLE bytes at most: all spans that are tokens by rank and place, each merged if its two parts stand.
+
+    One pass is enough: the merges that make a token have smaller ranks, and a span between two borders is merged as if it
+    stood alone, so whenever its last two parts meet, no span of a smaller rank is left to be merged anywhere.
+    """
+    def token(data: Column, i: Column, n: Column) -> Column:
+        """Of the span of n bytes from i, counted from 0."""
+        return _found(F.substring(data, i + 1, n), t, v)
+
+    def run(data: Column) -> Column:
+        n = F.octet_length(data)
+
+        def merges(i: Column) -> Column:
+            reach = F.get(t["reach"], F.xxhash64(F.substring(data, i + 1, F.lit(4))).bitwiseAND(0xFFFF).cast("int")).cast("int")
 
-    return let(let(word.cast("binary"), of_bytes), run)
+            def one(m: Column) -> Column:
+                return token(data, i, m).bitwiseOR((i * 4096 + m * 64).cast("long"))
+
+            return F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(reach, n - i))), one), lambda x: x.isNotNull())
+
+        def step(b: Column, x: Column) -> Column:
+            shape, at = x.bitwiseAND(4095).cast("int"), F.shiftright(x, 12).bitwiseAND(63).cast("int")
+            stands = F.call_function("shiftright", b, at).bitwiseAND(F.get(t["borders"], shape)) == F.get(t["standing"], shape)
+            return F.when(stands, b - F.call_function("shiftleft", F.lit(1).cast("long"), at + shape.bitwiseAND(63))).otherwise(b)
+
+        def spans(b: Column) -> Column:
+            def id_(i: Column) -> Column:
+                rest = F.call_function("shiftright", b, i + 1)
+                return F.shiftright(token(data, i, F.bit_count(rest.bitwiseXOR(rest - 1))), _ID).cast("int")
+
+            return F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", b, i).bitwiseAND(1) == 1), id_)
+
+        every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+        found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), merges)))
+        return F.aggregate(found, every, step, spans)
+
+    return let(data, run)
+
+
+def _folded_in_pieces(data: Column, t: Tables, v: Vocabulary) -> Column:
+    """The same for long data, piece by piece.
+
+    Tokens in a row are the merges of their bytes if and only if every two neighbours are the merges of theirs: the first
+    merge across a border between two of them would be made in these two alone, too. So the last KEEP tokens are folded
+    again with the next piece, and if the first new token goes with the one before it, all before it stand. If it does
+    not, all is folded from the beginning, which is exact as well.
+    """
+    ids, many = "array<int>", "array<array<int>>"
+
+    def of_token(i: Column) -> Column:
+        return F.get(t["pieces"], i)
+
+    def state(done: Column, last: Column, at: Column, tail: Column) -> Column:
+        return F.struct(done.alias("done"), last.alias("last"), at.alias("at"), tail.alias("tail"))
+
+    def run(data: Column) -> Column:
+        n = F.octet_length(data)
+
+        def step(s: Column, k: Column) -> Column:
+            upto = F.least(n, (k + 1) * PIECE)
+
+            def joined(new: Column) -> Column:
+                first = new[0]
+                goes = (s["last"] < 0) | (F.get(s["tail"], F.lit(0)) == first)
+                goes = F.when(goes, True).otherwise(_folded(F.concat(of_token(s["last"]), of_token(first)), t, v) == F.array(s["last"], first))
+                again = state(F.array().cast(many), F.lit(-1), F.lit(0), _folded(F.substring(data, F.lit(1), upto), t, v))
+                return let(F.when(goes, state(s["done"], s["last"], s["at"], new)).otherwise(again), kept)
+
+            return let(_folded(F.substring(data, s["at"] + 1, upto - s["at"]), t, v), joined)
+
+        def kept(s: Column) -> Column:
+            cut = F.size(s["tail"]) - KEEP
+            moved = F.slice(s["tail"], F.lit(1), F.greatest(cut, F.lit(0)))
+            length = F.aggregate(moved, F.lit(0), lambda a, i: a + F.octet_length(of_token(i)))
+            rest = F.slice(s["tail"], cut + 1, F.lit(KEEP))
+            return F.when(cut <= 0, s).otherwise(state(F.concat(s["done"], F.array(moved)), F.get(s["tail"], cut - 1), s["at"] + length, rest))
+
+        begin = state(F.array().cast(many), F.lit(-1), F.lit(0), F.array().cast(ids))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), begin, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["tail"]))))
+
+    return let(data, run)
+
+
+def fold(word: Column, t: Tables, v: Vocabulary) -> Column:
+    """The tokens of one word. t: the tables."""
+    data = word.cast("binary")
+    return F.when(F.octet_length(word) <= WHOLE, _folded_as_bits(data, t, v)).otherwise(_folded_in_pieces(data, t, v))
 
 
 def pieces(text: Column, v: Vocabulary) -> Column:
@@ -157,8 +282,9 @@ def pieces(text: Column, v: Vocabulary) -> Column:
 
 
 Tables = dict
-_TYPES = {"pairs": "array<bigint>", "bytes": "array<int>", "tokens": "array<string>"}
-_WORDS = "struct<words:array<string>,ids:array<array<int>>>"
+_LONGS = ["spans", "reach", "borders", "standing"]
+_FOLD = [*_LONGS, "bytes", "pieces"]
+_WORDS = "array<struct<word:string,ids:array<int>>>"
 
 
 def _variable(spark: SparkSession, name: str, type: str, rows: DataFrame) -> Column:
@@ -179,12 +305,15 @@ def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None,
     The words are placed in an executor and come as one value; the driver's Python never holds them.
     """
     name = f"treeloom_{uuid.uuid4().hex}"
-    whole = {"pairs": pa.array([v.pairs], pa.list_(pa.int64())), "bytes": pa.array([v.bytes], pa.list_(pa.int32())), "tokens": pa.array([[t.hex() for t in v.tokens]], pa.list_(pa.string()))}
+    whole = {k: ("array<bigint>", pa.array([getattr(v, k)], pa.list_(pa.int64()))) for k in _LONGS}
+    whole["bytes"] = ("array<int>", pa.array([v.bytes], pa.list_(pa.int32())))
+    whole["pieces"] = ("array<binary>", pa.array([v.tokens], pa.list_(pa.binary())))
+    whole["tokens"] = ("array<string>", pa.array([[t.decode("latin-1") for t in v.tokens]], pa.list_(pa.string())))
     out: Tables = {"names": []}
-    for k, x in whole.items():
-        out[k] = _variable(spark, f"{name}_{k}", _TYPES[k], spark.createDataFrame(pa.table({k: x})))
+    for k, (kind, x) in whole.items():
+        out[k] = _variable(spark, f"{name}_{k}", kind, spark.createDataFrame(pa.table({k: x})))
         out["names"].append(f"{name}_{k}")
-    out["size"] = size = int(2.4 * most) | 1 if words is not None else 0
+    out["size"] = size = 1 << (2 * most - 1).bit_length() if words is not None else 0
     if words is None:
         return out
 
@@ -194,16 +323,14 @@ def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None,
         found = list(batches)
         table = {k: pa.concat_arrays([b.column(k).cast(x) for b in found]) if found else pa.array([], x) for k, x in kinds.items()}
         h = table["h"].to_numpy()
-        at = _places((h % size).tolist(), ((h >> 24) % size).tolist(), size)
+        at = _places((h & size - 1).tolist(), ((h >> 24) & size - 1).tolist(), size)
         at = pa.array(at, mask=at < 0)
-        one = pa.array([0, size], pa.int32())
-        columns = [pa.ListArray.from_arrays(one, table[k].take(at)) for k in ("word", "ids")]
-        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, names=["words", "ids"])], names=["value"])
+        held = pa.StructArray.from_arrays([table[k].take(at) for k in ("word", "ids")], names=["word", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), held)], names=["value"])
 
     rows = words.select("word", "ids", "h").repartition(1).mapInArrow(placed, f"value {_WORDS}")
-    value = _variable(spark, f"{name}_words", _WORDS, rows)
+    out["words"] = _variable(spark, f"{name}_words", _WORDS, rows)
     out["names"].append(f"{name}_words")
-    out |= {"words": value["words"], "ids": value["ids"]}
     return out
 
 
@@ -222,20 +349,20 @@ def encode(text: Column, t: Tables, v: Vocabulary) -> Column:
             if not size:
                 return fold(w, t, v)
 
-            def looked(h: Column) -> Column:
-                a, b = F.pmod(h, F.lit(size)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(size)).cast("int")
-                return F.when(F.get(t["words"], a) == w, F.get(t["ids"], a)).when(F.get(t["words"], b) == w, F.get(t["ids"], b)).otherwise(fold(w, t, v))
+            def at(h: Column, other: Column) -> Column:
+                return let(F.get(t["words"], h.bitwiseAND(size - 1).cast("int")), lambda x: F.when(x["word"] == w, x["ids"]).otherwise(other))
 
-            return let(F.xxhash64(w), looked)
+            h = F.xxhash64(w)
+            return at(h, at(F.shiftright(h, 24), fold(w, t, v)))
 
         return F.flatten(F.transform(pieces(text, v), tokens))
 
-    return bound(t, ["pairs", "bytes", *(["words", "ids"] if size else [])], of)
+    return bound(t, [*_FOLD, *(["words"] if size else [])], of)
 
 
 def decode(ids: Column, t: Tables) -> Column:
-    """binary: the bytes of the tokens, one after the other."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["tokens"], i)), ""))
+    """binary: the bytes of the tokens, one after the other. A token is a string with one sign for each byte."""
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(t["tokens"], i)), ""), "ISO-8859-1")
 
 
 def frequent_words(docs: DataFrame, v: Vocabulary, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -247,7 +374,7 @@ def frequent_words(docs: DataFrame, v: Vocabulary, text: str = "text", words: in
     counted = sample.select(F.explode(pieces(F.col("text"), v)).alias("word")).groupBy("word").count().where(F.octet_length("word") <= WORD_BYTES)
     top = counted.orderBy(F.desc("count"), "word").limit(words).select("word")
     tables = _tables(docs.sparkSession, v)
-    out = top.repartition(32, "word").select("word", bound(tables, ["pairs", "bytes"], lambda t: fold(F.col("word"), t, v)).alias("ids"), F.xxhash64("word").alias("h"))
+    out = top.repartition(32, "word").select("word", bound(tables, _FOLD, lambda t: fold(F.col("word"), t, v)).alias("ids"), F.xxhash64("word").alias("h"))
     _drop(docs.sparkSession, tables)
     return out
 
