@@ -39,6 +39,18 @@ def test_fit_is_near_the_likelihoods_top():
     assert np.allclose(w, [1.5, -1.0], atol=0.25) and np.allclose(th, [0.5, 2.0], atol=0.25)
 
 
+def test_yes_or_no_labels_are_graded_by_models_that_have_not_seen_the_row(spark):
+    train, held = texts(1500, 5), texts(300, 6)
+    df = spark.createDataFrame(train, "doc_id long, text string, grade int")
+    model = X.learn(df.select("doc_id", "text"), df.selectExpr("doc_id", "cast(grade > 0 as int) as grade"))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    out = X.grade(spark.createDataFrame(held, "doc_id long, text string, label int"), model).collect()
+    mean = [np.mean([r["severity"] for r in out if r["label"] == g]) for g in range(3)]
+    assert mean[0] < 0.2 < mean[1] < mean[2]
+    pairs = [(a["severity"], b["severity"]) for a in out for b in out if a["label"] == 1 and b["label"] == 2]
+    assert np.mean([a < b for a, b in pairs]) > 0.8
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "idiot " * 50_000, 1), (None, "scum", 1), (3, "idiot " * 50_000, 1)], "doc_id long, text string, grade int")
     for model in (X.learn(df, df.limit(0)), X.learn(df, df)):

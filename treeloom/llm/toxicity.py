@@ -19,8 +19,11 @@ from treeloom.llm._words import words
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Words are known by so many bits of their hash; words of grade counts less telling than LEAST_Z standard errors get no weight.
+#: Words are known by so many bits of their hash (words that share them share a weight), MOST_WORDS of them at most have a
+#: weight; words of grade counts less telling than LEAST_Z standard errors get no weight.
 BITS, LEAST_Z, LEAST_DOCS, MOST_WORDS = 18, 3.9, 4, 4096
+#: High rows in either half of the labelled rows from which yes-or-no labels are graded; with fewer there are two grades.
+LEAST_HIGH = 50
 RIDGE, STEPS, RATE = 1e-5, 800, 0.1
 
 
@@ -91,16 +94,8 @@ def _signed_root(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 * g)) * np.sign(a / n - b / m)
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray) -> Model:
-    """rows: sorted distinct slots of each labelled text. Without two grades nothing is learned: all scores are zero.
-
-    Labels that only say yes or no are graded by the text: of the rows with grade 1 those with more telling words than
-    the middle one of those that have any are grade 2.
-    """
-    weight = np.zeros(1 << BITS)
-    if not len(rows) or grade.max() == 0 or grade.min() > 0:
-        return Model(weight, np.array([50.0]))
-    high = grade > 0
+def _telling(rows: list[np.ndarray], high: np.ndarray) -> np.ndarray:
+    """The slots, MOST_WORDS at most, that tell the rows of high from the others, the most telling first."""
     of = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     in_high = np.bincount(of[high[owner]], minlength=1 << BITS)
@@ -108,25 +103,54 @@ def fit(rows: list[np.ndarray], grade: np.ndarray) -> Model:
     z = _signed_root(in_high, in_low, int(high.sum()), int((~high).sum()))
     z[in_high + in_low < LEAST_DOCS] = 0
     telling = np.flatnonzero(np.abs(z) >= LEAST_Z)
-    telling = telling[np.argsort(-np.abs(z[telling]), kind="stable")][:MOST_WORDS]
+    return telling[np.argsort(-np.abs(z[telling]), kind="stable")][:MOST_WORDS]
+
+
+def _linked(rows: list[np.ndarray], grade: np.ndarray) -> Model:
+    """The cumulative-link model of the telling words."""
+    weight, high = np.zeros(1 << BITS), grade > 0
+    telling = _telling(rows, high)
     if not len(telling):
         return Model(weight, np.array([np.log((~high).sum() / high.sum())]))
     column = np.full(1 << BITS, -1, np.int64)
     column[telling] = np.arange(len(telling))
-    if grade.max() == 1:
-        lead = np.bincount(owner[(column[of] >= 0) & (z[of] > 0)], minlength=len(rows))
-        some = lead[high & (lead > 0)]
-        grade = np.where(high & (lead > (np.median(some) if len(some) else 0)), 2, grade)
-        if grade.max() == 1:
-            grade = np.where(high, 1, 0)
     weight[telling], thresholds = _fit_links(rows, grade, column, len(telling))
     return Model(weight, thresholds)
 
 
+def _cross_graded(rows: list[np.ndarray], high: np.ndarray) -> np.ndarray:
+    """Grades 0, 1 and 2 of yes-or-no labels.
+
+    Rows are dealt to two halves; each half is scored by a model that has seen the other half only, and of its high rows
+    those above their median score have grade 2. So no row's grade comes from a model that it helped to fit.
+    """
+    grade, half = high.astype(np.int64), np.arange(len(rows)) % 2
+    for k in (0, 1):
+        seen = half != k
+        if high[seen].sum() < LEAST_HIGH or high[seen].all():
+            return high.astype(np.int64)
+        model = _linked([r for r, s in zip(rows, seen, strict=True) if s], high[seen].astype(np.int64))
+        score = np.array([model.weight[r].sum() for r in rows])
+        own = high & (half == k)
+        if own.any():
+            grade[own & (score > np.median(score[own]))] = 2
+    return grade if (grade == 1).any() and (grade == 2).any() else high.astype(np.int64)
+
+
+def fit(rows: list[np.ndarray], grade: np.ndarray) -> Model:
+    """rows: sorted distinct slots of each labelled text. Without two grades nothing is learned: all scores are zero.
+
+    Labels that only say yes or no are graded by cross-fitting.
+    """
+    if not len(rows) or grade.max() == 0 or grade.min() > 0:
+        return Model(np.zeros(1 << BITS), np.array([50.0]))
+    return _linked(rows, _cross_graded(rows, grade > 0) if grade.max() == 1 else grade)
+
+
 def learn(docs: DataFrame, labels: DataFrame, grade: str = "grade", text: str = "text", id: str = "doc_id") -> Model:
     """Fits on SAMPLE labelled rows at most; labels(id, grade): 0, 1, 2, ...; null grades, ids and texts don't count.
 
-    Of rows that repeat an id the largest grade and one text count.
+    Of rows that repeat an id the largest grade and one text count, the one whose sorted word hashes are the largest.
     """
     wanted = labels.where(F.col(grade).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.max(grade).cast("int").alias("__grade"))
     wanted = wanted.orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
