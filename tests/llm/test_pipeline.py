@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline as C
 import public_tokenizers
 import tiktoken
@@ -59,3 +61,20 @@ def test_stages_one_by_one(spark, tmp_path):
 def test_run_is_registered(spark):
     assert "pipeline" in entry.queries() and [n for n, _ in C.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "tokens"]
     assert entry.queries()["pipeline"](spark, SF).count() > 0
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in any column, repeated rows and empty tables through every stage."""
+    long = "plain words of a long text about rivers and woods " * 4000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34", "en", "a", 5), (4, "one two three four five", "en", "a", 23), (4, "one two three four five", "en", "a", 23), (None, "another text without an id", None, "b", 26), (5, long, "en", "b", len(long)), (6, long, "en", "b", len(long))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bench = spark.createDataFrame([("q", "nothing that is here"), ("r", None)], "item_id string, text string")
+    for name, docs, items in (("odd", rows, bench), ("none", [], bench), ("nobench", rows, bench.limit(0))):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{sf}/documents.parquet")
+        items.write.parquet(f"{sf}/benchmark.parquet")
+        out = C.run(spark, sf).collect()
+        assert sorted((r["doc_id"] or 0) for r in out) == ([0, 4, 5] if docs else [])
+        for r in out:
+            text = next(t for i, t, *_ in rows if i == r["doc_id"])
+            assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["n_tokens"] == len(r["ids"])

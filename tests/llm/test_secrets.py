@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 from treeloom.llm import forest
 from treeloom.llm import secrets as S
 
@@ -79,3 +80,25 @@ def test_secrets_inside_words_and_long_ones(spark):
     assert not got[6] and not got[7]
     masked = [r["text"] for r in S.redact(df).orderBy("doc_id").collect()]
     assert not any(v in m for m, (_, w) in zip(masked, texts, strict=True) for v in w)
+
+
+def test_long_private_keys(spark):
+    body = "".join(f"{k:063d}\n" for k in range(800))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}-----END RSA PRIVATE KEY-----"
+    open_ = "-----BEGIN PRIVATE KEY-----\n" * 3000
+    df = spark.createDataFrame([(1, f"a {key} b"), (2, open_), (3, key + key)], "doc_id long, text string")
+    got = [[s["value"] for s in r["secrets"] if s["kind"] == "private_key"] for r in S.find_secrets(df).orderBy("doc_id").collect()]
+    assert got == [[key], [], [key, key]]
+
+
+def test_ties_and_scores_of_the_query(spark):
+    """The query against the forest in numpy on the same candidates."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    x = docs.select("doc_id", F.col("source").alias("p"), F.explode(S.candidates(F.col("text"))).alias("c"))
+    made = x.select("doc_id", "c.value", *[f.alias(n) for f, n in zip(S.features(F.col("c.value"), F.col("c.before"), F.col("c.after"), F.coalesce("p", F.lit(""))), S.FEATURES, strict=True)]).toPandas()
+    made["hit"] = forest.score(S.train(spark), made[list(S.FEATURES)].to_numpy()) >= S.VOTE
+    want = made[made["hit"]].groupby("doc_id")["value"].apply(list).to_dict()
+    for r in S.op4_secrets(spark, sf).collect():
+        plain = [v for v in r["secrets"] if not v.startswith("-----BEGIN")]
+        assert plain == want.get(r["doc_id"], [])

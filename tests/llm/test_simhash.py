@@ -44,13 +44,13 @@ def test_groups_of_documents(spark):
     texts = [None, "", "  ", LOREM, LOREM.upper(), LOREM + " now", LOREM * 3, LOREM * 3 + " x", "one", "two words", LOREM] + [f"{LOREM} {i % 7} {LOREM} {i}" for i in range(60)]
     rows = [(100 - i, t, i, "z") for i, t in enumerate(texts)] + [(None, LOREM, 0, "n"), (90, LOREM, 0, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int, __id string")
-    out = simhash.near_duplicates(df.drop("__id")).collect()
+    out = simhash.near_duplicates(df).collect()
     assert len(out) == len(rows)
     want = dict(zip([(r[0], r[1]) for r in rows], zip([brute_fp(r[1]) for r in rows], brute_components([(r[0], brute_fp(r[1])) for r in rows]), strict=True), strict=True))
     for r in out:
         fp, comp = want[r["doc_id"], r["text"]]
         assert (int(r["fingerprint"], 16), len(r["fingerprint"]), r["component_id"]) == (fp, 16, comp)
-    assert simhash.near_duplicates(df.drop("__id").limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_links_join_what_brute_force_joins(spark):
@@ -68,6 +68,9 @@ def test_links_join_what_brute_force_joins(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    rows = [(3, LOREM, "a"), (1, LOREM, "b"), (1, LOREM, "b"), (2, "other text here", "c"), (None, "no id here at all", "d"), (None, "no id here at all", "d")]
-    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, s string"))
-    assert sorted((r["doc_id"] or 0, r["s"]) for r in out.collect()) == [(0, "d"), (0, "d"), (1, "b"), (2, "c")]
+    rows = [(4, None, "e"), (5, "", "f"), (3, LOREM, "a"), (1, LOREM, "b"), (1, LOREM, "b"), (2, "other text here", "c"), (None, "no id here at all", "d"), (None, "no id here at all", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["__id"]) for r in out.collect()) == [(0, "d"), (0, "d"), (1, "b"), (2, "c"), (4, "e")]
+    assert simhash.keep_one(df.where("doc_id > 1")).count() == 3 and simhash.keep_one(df.limit(0)).count() == 0

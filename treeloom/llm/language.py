@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 #: Bounds of the labelled sample: symbols of all languages together and of one, and different texts of one. Every
 #: language has LEAST_SYMBOLS, even if all together then have more.
 SAMPLE_SYMBOLS, LANGUAGE_SYMBOLS, LANGUAGE_ROWS, LEAST_SYMBOLS = 160_000, 40_000, 128, 2_500
+#: Parts that the texts of a language are dealt to before its sample is chosen: one language may have most texts.
+PARTS = 64
 #: Letters of the sample, the most frequent first, whose steps are in a table; those of the others are in a sorted list.
 LETTERS = 46
 #: Phrases don't cross the ends of blocks of so many symbols, so that many blocks are read at once.
@@ -155,10 +157,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     each = min(LANGUAGE_SYMBOLS, max(LEAST_SYMBOLS, SAMPLE_SYMBOLS // max(1, kinds)))
     if not kinds:
         return {"alphabet": "", "languages": {}}
-    order = Window.partitionBy("lang").orderBy(F.col("n").between(200, each).desc(), "h")
-    # copies count once
-    picked = rows.select("lang", "h", F.length("text").alias("n")).distinct().withColumn("k", F.row_number().over(order))
-    picked = picked.where(F.col("k") <= LANGUAGE_ROWS).select("lang", "h").distinct()
+    # copies count once; the first of each part of a language's texts are at hand before its first are chosen
+    picked = rows.select("lang", "h", F.length("text").alias("n"), F.pmod("h", F.lit(PARTS)).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.col("n").between(200, each).desc(), "h")
+        picked = picked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LANGUAGE_ROWS).drop("k")
+    picked = picked.select("lang", "h").distinct()
     sample: dict[str, list] = {}
     # LANGUAGE_ROWS short rows of each language at most
     for r in rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", F.left("text", F.lit(2 * each)).alias("text")).distinct().collect():

@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm._store import materialise
+from treeloom.llm._store import materialise, own_name, sized
 from treeloom.llm._words import Block, mixed, words
 
 WINDOW, GRAM = 10, 5
-#: Size of the filter that all tasks hold; it does not grow with the benchmark. A full filter costs time, never a hit.
-FILTER_BITS = 24
+#: The filter that all tasks hold has 2 ** LEAST_BITS bits at least and FREE for each window, 2 ** MOST_BITS (64 MB) at most: a
+#: benchmark of many more than 30 million windows fills it, which costs time, never a hit.
+LEAST_BITS, MOST_BITS, FREE = 24, 29, 16
 
 
 def winnowed(block: Block, n: int, gram: int) -> np.ndarray:
@@ -42,14 +43,14 @@ def winnowed(block: Block, n: int, gram: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """benchmark(item_id, text) as (window text, size, slot, items): one row per distinct window; items are strings.
+    """benchmark(item_id, text) as (window text, size, key, items): one row per distinct window; items are strings.
 
     An item of fewer words than window is one window; an item without words has none.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"item": [], "window": [], "size": [], "slot": []}
+            out: dict[str, list] = {"item": [], "window": [], "size": [], "key": []}
             for block in words(batch.column("text")):
                 bounds = np.searchsorted(block.row, np.arange(block.rows + 1))
                 least: dict[int, np.ndarray] = {}
@@ -59,34 +60,48 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
                     if not n:
                         continue
                     if n not in least:
-                        least[n] = winnowed(block, n, gram) >> np.uint64(64 - FILTER_BITS)
+                        least[n] = winnowed(block, n, gram).view(np.int64)
                     for i in range(a, b - n + 1):
                         out["item"].append(batch.column("item")[block.first + r].as_py())
                         out["window"].append(block.text(i, n))
                         out["size"].append(n)
-                        out["slot"].append(int(least[n][i]))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("item", pa.string()), ("window", pa.string()), ("size", pa.int32()), ("slot", pa.int64())]))
+                        out["key"].append(int(least[n][i]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("item", pa.string()), ("window", pa.string()), ("size", pa.int32()), ("key", pa.int64())]))
 
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(find, "item string, window string, size int, slot long")
-    return rows.groupBy("window", "size", "slot").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(find, "item string, window string, size int, key long")
+    return rows.groupBy("window", "size", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _filter(windows: DataFrame) -> tuple[bytes, list[int]]:
-    """2 ** FILTER_BITS bits of slots and the window sizes: at most 512 rows of 4 KB and WINDOW sizes reach the driver."""
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    slot = F.col("slot") + 1  # bucket numbers and bit positions count from 1
-    for r in windows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect():
+def _slots(key: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of winnowed hashes in a filter of 2 ** n_bits bits."""
+    shift = np.uint64(64 - n_bits)
+    return (key >> shift).astype(np.int64), (key * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+
+
+def _filter(windows: DataFrame) -> tuple[bytes, int, list[int]]:
+    """A filter of both places of all keys, its bits, and the window sizes: 2 ** n_bits bits and WINDOW sizes reach the driver."""
+    n = windows.count()
+    n_bits = min(MOST_BITS, max(LEAST_BITS, (FREE * n).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slots in _slots(batch.column(0).to_numpy().view(np.uint64), n_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(slots + 1)], names=["slot"])  # buckets and positions count from 1
+
+    bits = np.zeros(1 << (n_bits - 3), np.uint8)
+    rows = windows.select("key").mapInArrow(places, "slot long")
+    for r in rows.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toLocalIterator():
         at = (r["b"] - 1) * 4096
         bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits.tobytes(), sorted(r["size"] for r in windows.select("size").distinct().collect())
+    return bits.tobytes(), n_bits, sorted(r["size"] for r in windows.select("size").distinct().collect())
 
 
-def _candidates(spark: SparkSession, bits: bytes, sizes: list[int], gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _candidates(spark: SparkSession, bits: bytes, n_bits: int, sizes: list[int], gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     held = spark.sparkContext.broadcast(bits)
     kind = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("window", pa.string())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
+        filled = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             n_words = np.zeros(batch.num_rows, np.int64)
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -95,9 +110,10 @@ def _candidates(spark: SparkSession, bits: bytes, sizes: list[int], gram: int) -
                 begins = np.searchsorted(block.row, np.arange(block.rows))
                 for n in sizes:
                     least = winnowed(block, n, gram)
-                    hit = known[(least >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                    hit &= block.row[: len(least)] == block.row[n - 1 : n - 1 + len(least)]
-                    for i in np.flatnonzero(hit).tolist():
+                    first, second = _slots(least, n_bits)
+                    some = np.flatnonzero((filled[first >> 3] >> (first & 7).astype(np.uint8)) & 1)
+                    some = some[(filled[second[some] >> 3] >> (second[some] & 7).astype(np.uint8)) & 1 > 0]
+                    for i in some[block.row[some] == block.row[some + n - 1]].tolist():
                         r = int(block.row[i])
                         found[block.first + r].append({"at": i - int(begins[r]), "size": n, "window": block.text(i, n)})
             kept = batch.drop_columns(["__text"])
@@ -146,12 +162,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """
     spark = docs.sparkSession
     windows, _ = materialise(benchmark_windows(benchmark, window, gram))
-    bits, sizes = _filter(windows)
+    bits, n_bits, sizes = _filter(windows)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     key = F.struct(F.xxhash64(F.lit(1), F.col(text)).alias("a"), F.xxhash64(F.lit(2), F.col(text)).alias("b"))
     rows = docs.select(*keep, key.alias("__key"), F.col(text).alias("__text"))
     made = T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add("n_words", "long").add("__found", T.DataType.fromDDL("array<struct<at:int,size:int,window:string>>"))
-    swept, _ = materialise(rows.mapInArrow(_candidates(spark, bits, sizes, gram), made))
+    swept, _ = materialise(rows.mapInArrow(_candidates(spark, bits, n_bits, sizes, gram), made))
 
     some = F.size("__found") > 0
     seen = swept.where(some).select("__key", F.explode("__found").alias("f")).select("__key", "f.*").distinct()
@@ -172,10 +188,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that share a window with the benchmark; texts are not shuffled but for those of a hot join."""
+    """docs without those that share a window with the benchmark.
+
+    Null and empty texts and texts without words share none and stay, whatever their ids; rows that repeat go or stay
+    together; an empty table or benchmark takes nothing away. What goes is known by two hashes of its text, 16 bytes for
+    each different one: broadcast where their measured size allows, so that texts are not shuffled; joined by a shuffle
+    of both sides beyond.
+    """
+    a, b = (own_name(n, docs.columns) for n in ("__a", "__b"))
     key = [F.xxhash64(F.lit(i), F.col(text)) for i in (1, 2)]
-    hit = decontaminate(docs.select(key[0].alias("__a"), key[1].alias("__b"), text), benchmark, text=text, keep=["__a", "__b"]).where("n_hit > 0").select("__a", "__b").distinct()
-    return docs.withColumns({"__a": key[0], "__b": key[1]}).join(hit, ["__a", "__b"], "left_anti").select(*docs.columns)
+    found = decontaminate(docs.select(key[0].alias(a), key[1].alias(b), text), benchmark, text=text, keep=[a, b])
+    hit = sized(materialise(found.where("n_hit > 0").select(a, b).distinct())[0], F.lit(48))
+    return docs.withColumns({a: key[0], b: key[1]}).join(hit, [a, b], "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm._store import discard, materialise
+from treeloom.llm._store import discard, materialise, own_name, sized
 from treeloom.llm._words import blocks, mixed
 
 SHINGLE, SEED = 3, 42
@@ -138,26 +138,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", kee
     named as those added are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("fingerprint", "component_id")]
-    marked, _ = materialise(fingerprints(docs.withColumn("__id", F.col(id)), text, [*keep, "__id"]))
-    by_fp, _ = materialise(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("id"), F.count("*").alias("n")))
+    own = own_name("__id", [*docs.columns, "__fp"])
+    marked, _ = materialise(fingerprints(docs.withColumn(own, F.col(id)), text, [*keep, own]))
+    by_fp, _ = materialise(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(own).alias("id"), F.count("*").alias("n")))
     roots, _ = materialise(components(links(by_fp.select("fp"))))
     grouped = by_fp.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     # only fingerprints with another row or another fingerprint beside them need the join back
     linked = grouped.where("n > 1 or node is not null").join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
+    linked = sized(materialise(linked)[0], F.lit(32))  # a fingerprint may stand for a third of all rows
     return marked.join(linked, "__fp", "left").select(
-        *keep, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id")
+        *keep, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id").isNull(), F.col(own)).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs without the near copies: of each component the row with the smallest id stays (one of them, if it repeats)."""
-    found = near_duplicates(docs.select(text, id), text, id, [id]).where(F.col("component_id") < F.col(id)).select(F.col(id).alias("__id")).distinct()
-    kept = docs.join(found, F.col(id) == F.col("__id"), "left_anti")
-    # rows that repeat the whole id stay once; rows without an id all stay
-    again = docs.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").select(id)
+    """docs without the near copies: of each component the row with the smallest id stays (one of them, if it repeats).
+
+    Rows without an id all stay; an empty table stays empty. What goes is a list of ids, broadcast where its measured size
+    allows: only rows that repeat the whole id are shuffled with their texts.
+    """
+    found = near_duplicates(docs.select(text, id), text, id, [id])
+    gone, _ = materialise(found.where(F.col("component_id") < F.col(id)).select(id).distinct())
+    again, _ = materialise(docs.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").select(id))
+    width = F.coalesce(F.octet_length(F.col(id).cast("string")), F.lit(0)) + 32
+    kept = docs.join(sized(gone, width), id, "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    again = sized(again, width)
     once = kept.join(again, id, "left_semi").dropDuplicates([id])
-    return kept.join(again, id, "left_anti").unionByName(once)
+    return kept.join(again, id, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
