@@ -282,3 +282,48 @@ def test_dating_is_not_cut_below_the_kernel(spark, monkeypatch):
     monkeypatch.setattr(dating.Chain, "move", move)
     dating.posterior_mean(t, [1.0, 2.0, 0.0], np.zeros(3))
     assert ended
+
+
+def test_stretches_hand_on_what_whole_chromosomes_have(spark):
+    """As-of joins, interpolation, distances and masks: any width of stretches gives what one stretch gives."""
+    import random
+
+    rnd = random.Random(4)
+    rows = sorted({(rnd.randint(0, 1), rnd.randint(0, 400)) for _ in range(90)})
+    s = spark.createDataFrame([(c, p, i) for i, (c, p) in enumerate(rows)], "chrom int, pos long, snp_id int")
+    m = spark.createDataFrame([(c, b, float(b * b)) for c in (0, 1) for b in sorted(rnd.sample(range(400), 12))], "chrom int, bp long, cm double")
+    bases = spark.createDataFrame([(c, p, rnd.random() < 0.7) for c in (0, 1) for p in range(300)], "chrom int, p long, ok boolean")
+    key = lambda df, *cols: sorted(map(tuple, df.select(*cols).collect()), key=str)
+
+    def all_of(width):
+        return (
+            key(intervals.as_of(s, m, ["chrom"], "pos", "bp", ["cm"], width=width), "snp_id", "at", "cm"),
+            key(intervals.as_of(s, m, ["chrom"], "pos", "bp", ["cm"], True, width), "snp_id", "at", "cm"),
+            key(intervals.interpolate(s, m, ["chrom"], width=width), "snp_id", "rpos"),
+            key(windows.distances(s, ["chrom"], "pos", "snp_id", width=width), "snp_id", "dist"),
+            key(cleaning.pass_mask(bases, reach=7, most=5, width=width), "chrom", "p", "failing_near", "failing_before"),
+        )
+
+    whole = all_of(10_000)
+    for width in (8, 13, 50):
+        assert all_of(width) == whole
+    flags = {(c, p): ok for c, p, ok in map(tuple, bases.collect())}
+    want = []
+    for (c, p), ok in flags.items():
+        near = sum(not flags.get((c, q), True) for q in range(p - 7, p + 8))
+        if ok and near < 5:
+            want.append((c, p, near, sum(not flags[c, q] for q in range(p))))
+    assert whole[4] == sorted(want, key=str)
+
+
+def test_pairs_are_summed_as_one_by_one(spark):
+    from treeloom.functions.epochs import epochs
+    from treeloom.operators import rates, trees
+    from treeloom.plans import views
+
+    t = views.trees(spark, "/root/testdata/sf0.001")
+    spans = t.select("tree_id", (F.col("tree_id") + 1.5).alias("span"))
+    grid = epochs(spark, [0.0, 4.0, 9.0, 20.0, 60.0], 1e9)
+    get = lambda df: {(r["i"], r["j"], r["epoch"]): (r["num"], r["denom"]) for r in df.collect()}
+    a, b = get(rates.pair_sums(t, spans, grid)), get(rates.pair_events(trees.pair_times(t), grid, spans))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)

@@ -29,7 +29,7 @@ def reverse_complement(s: Column) -> Column:
 
 def base_at(sequence: Column, pos: Column) -> Column:
     """Upper-case base at a one-based position; null outside."""
-    return F.nullif(F.upper(F.substring(sequence, pos.cast("int"), F.lit(1))), F.lit(""))
+    return F.when(pos >= 1, F.nullif(F.upper(F.substring(sequence, pos.cast("int"), F.lit(1))), F.lit("")))
 
 
 def flip(gt: Column) -> Column:
@@ -48,7 +48,8 @@ def carries(gt: Column, hap: Column) -> Column:
 
 def pick(gt: Column, haps: list[int]) -> Column:
     """The haplotypes of a list, in its order."""
-    return F.concat(*[F.substring(gt, h + 1, 1) for h in haps]) if haps else F.lit("")
+    # a list as one literal, not an expression for each haplotype
+    return F.array_join(F.transform(F.array(*map(F.lit, haps)), lambda h: F.substring(gt, h + 1, F.lit(1))), "") if haps else F.lit("")
 
 
 def transversion(anc: Column, der: Column) -> Column:
@@ -107,6 +108,7 @@ def selection_log_p(n: int, f_n: Column, k: Column, f_k: Column) -> Column:
             F.sequence(f_n.cast("int"), (F.lit(n) - k + f_k).cast("int")),
             lambda f: log_choose(f - 1, f_k - 1, t) + log_choose(F.lit(n) - f - 1, k - f_k - 1, t) - log_choose(F.lit(n - 1), k - 1, t),
         )
+        terms = F.filter(terms, lambda x: x.isNotNull())  # fewer carriers of n than of k: no way, adds nothing
         top = F.array_max(terms)
         total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
         return (F.log(total) + top) / F.log(F.lit(10.0))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import alleles
+from treeloom.operators.intervals import WIDTH
 
 
 def unique_positions(sites: DataFrame, by: list[str] = ["chrom"], pos: str = "pos") -> DataFrame:  # noqa: B006
@@ -33,12 +34,26 @@ def segregating(sites: DataFrame) -> DataFrame:
     return sites.where((n > 0) & (n < F.length("gt")))
 
 
-def pass_mask(bases: DataFrame, by: list[str] = ["chrom"], p: str = "p", ok: str = "ok", reach: int = 1000, most: int = 2000) -> DataFrame:  # noqa: B006
-    """Bases of a mask that pass and have fewer than `most` failing ones from reach before to reach after."""
-    w = Window.partitionBy(*by).orderBy(p)
-    failing = F.sum((~F.col(ok)).cast("int"))
-    out = bases.withColumns({"failing_near": failing.over(w.rangeBetween(-reach, reach)), "failing_before": F.coalesce(failing.over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    return out.where(F.col(ok) & (F.col("failing_near") < most))
+def pass_mask(bases: DataFrame, by: list[str] = ["chrom"], p: str = "p", ok: str = "ok", reach: int = 1000, most: int = 2000, width: int = WIDTH) -> DataFrame:  # noqa: B006
+    """Bases of a mask that pass and have fewer than `most` failing ones from reach before to reach after.
+
+    Stretches of width bases are one task's rows each, with the bases within reach of their ends from the stretches beside
+    them; the failing bases before a stretch are a running sum of the stretches' totals.
+    """
+    width = max(width, reach + 1)
+    own = F.floor(F.col(p) / width).cast("long")
+    failing = F.sum((~F.col(ok)).cast("long"))
+    near = F.array_distinct(F.array(own, F.floor((F.col(p) - reach) / width).cast("long"), F.floor((F.col(p) + reach) / width).cast("long")))
+    rows = bases.withColumn("__own", own).withColumn("__stretch", F.explode(near))
+    w = Window.partitionBy(*by, "__stretch").orderBy(p)
+    before = failing.over(w.rangeBetween(Window.unboundedPreceding, -1))
+    # of the bases before a stretch that are with it, the ones that its running sum has counted
+    beside = F.sum(((F.col("__own") < F.col("__stretch")) & ~F.col(ok)).cast("long")).over(Window.partitionBy(*by, "__stretch"))
+    rows = rows.withColumns({"failing_near": failing.over(w.rangeBetween(-reach, reach)), "__run": F.coalesce(before, F.lit(0)) - beside}).where("__own = __stretch")
+    along = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = bases.withColumn("__stretch", own).groupBy(*by, "__stretch").agg(failing.alias("__total")).select(*by, "__stretch", F.coalesce(F.sum("__total").over(along), F.lit(0)).alias("__earlier"))
+    out = rows.join(totals, [*by, "__stretch"]).withColumn("failing_before", F.col("__run") + F.col("__earlier"))
+    return out.where(F.col(ok) & (F.col("failing_near") < most)).select(*bases.columns, "failing_near", "failing_before")
 
 
 def filter_by_mask(sites: DataFrame, bases: DataFrame, by: list[str] = ["chrom"], reach: int = 1000, most: int = 2000) -> DataFrame:  # noqa: B006

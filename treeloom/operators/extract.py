@@ -78,7 +78,7 @@ def subpopulation(trees_: DataFrame, tips: list[int]) -> DataFrame:
 def moved_branches(muts: DataFrame, trees_: DataFrame, tips: list[int], keys: list[str] = ["tree_id"]) -> DataFrame:  # noqa: B006
     """Mutations with the branch of the restricted tree that holds their old one; those outside it go."""
 
-    def kernel(t: trees.Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: trees.Tree, row: dict) -> pd.DataFrame:
         s, _, _ = t.subset(tips)
         where = {c: i for i, c in enumerate(s.clades())}
         bits = [sum(1 << i for i, x in enumerate(tips) if c >> x & 1) for c in t.clades()]
@@ -118,14 +118,15 @@ def unlinked(nodes: DataFrame, tips: DataFrame, muts: DataFrame, keys: list[str]
 def coalescence_times(trees_: DataFrame, muts: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """muts with ancestral_times and derived_times: sorted ages of the coalescences outside and inside their clade."""
 
-    def kernel(t: trees.Tree, row: pd.Series) -> pd.DataFrame:
-        h, c = t.heights(), t.clades()
+    def kernel(t: trees.Tree, row: dict) -> pd.DataFrame:
+        first, last, _ = t.stretches()
+        inner = np.arange(t.n, t.size)
+        inner = inner[np.argsort(t.heights()[inner], kind="stable")]
+        h = t.heights()[inner]
         rows = []
         for v in range(t.size):
-            inside = [x >= t.n and c[x] & c[v] == c[x] for x in range(t.size)]
-            der = sorted(h[x] for x in range(t.n, t.size) if inside[x])
-            anc = sorted(h[x] for x in range(t.n, t.size) if not inside[x])
-            rows.append((v, anc, der))
+            inside = (first[inner] >= first[v]) & (last[inner] <= last[v])
+            rows.append((v, h[~inside].tolist(), h[inside].tolist()))
         return pd.DataFrame(rows, columns=["branch", "ancestral_times", "derived_times"])
 
     return muts.join(trees.map_trees(trees_, kernel, "branch int, ancestral_times array<double>, derived_times array<double>", keys), [*keys, "branch"])

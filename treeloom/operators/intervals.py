@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a chromosome that are sorted together.
+WIDTH = 1 << 20
+
+
 def interval_join(left: DataFrame, right: DataFrame, bucket: float, by: list[str] | None = None, l: tuple[str, str] = ("lo", "hi"), r: tuple[str, str] = ("lo", "hi"), how: str = "inner") -> DataFrame:  # noqa: E741
     """Rows of left and right whose half-open ranges overlap, each pair once.
 
@@ -48,27 +52,40 @@ def _merged(left: DataFrame, right: DataFrame, by: list[str], lpos: str, rpos: s
     return a.unionByName(b)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], lpos: str, rpos: str, values: list[str], forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], lpos: str, rpos: str, values: list[str], forward: bool = False, width: int = WIDTH) -> DataFrame:
     """left with values and `at` of the nearest row of right at or before lpos (at or after it, if forward); null if none.
 
-    One shuffle by the key and one sort; no row meets more than its neighbour. Of rows at one position the last by the
-    order of their values counts (the first, if forward).
+    Stretches of width positions are sorted each by itself; what one hands on to the next is one row of a small table.
+    Of rows at one position the last by the order of their values counts (the first, if forward).
     """
-    rows = _merged(left, right, by, lpos, rpos, values)
-    return rows.withColumn("__near", _carried(by, forward, "__side" if not forward else "-__side")).where("__side = 1").select("__row.*", "__near.*")
+    rows = _stretched(_merged(left, right, by, lpos, rpos, values), width)
+    return _carried(rows, by, forward, forward, "__near").where("__side = 1").select("__row.*", "__near.*")
+
 
+def _stretched(rows: DataFrame, width: int) -> DataFrame:
+    return rows.withColumn("__stretch", F.floor(F.col("__pos") / width).cast("long"))
 
-def _carried(by: list[str], forward: bool, side: str) -> Column:
-    """The last value at or before each row; or the first at or after it, read from the end: a frame that only grows costs one pass."""
-    order = [F.col("__pos"), F.expr(side), F.col("__value")]
+
+def _carried(rows: DataFrame, by: list[str], forward: bool, equal_after: bool, name: str) -> DataFrame:
+    """rows with the last value at or before each row, or the first at or after it, as name.
+
+    equal_after: a value at a row's own position comes after the row. Read from the end if forward, so that frames only
+    grow. A stretch without a value before the row takes the last one of the stretches before.
+    """
+    order = [F.col("__pos"), F.expr("-__side" if equal_after else "__side"), F.col("__value")]
     order = [c.desc() for c in order] if forward else order
-    return F.last("__value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    own = F.last("__value", ignorenulls=True).over(Window.partitionBy(*by, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    edge = F.when(F.col("__side") == 0, F.struct("__pos", "__value"))
+    edges = rows.groupBy(*by, "__stretch").agg((F.min(edge) if forward else F.max(edge))["__value"].alias("__edge"))
+    along = Window.partitionBy(*by).orderBy(F.col("__stretch").desc() if forward else F.col("__stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*by, "__stretch", F.last("__edge", ignorenulls=True).over(along).alias("__before"))
+    return rows.withColumn(name, own).join(edges, [*by, "__stretch"]).withColumn(name, F.coalesce(name, "__before")).drop("__before")
 
 
-def interpolate(sites: DataFrame, genmap: DataFrame, by: list[str], pos: str = "pos", bp: str = "bp", cm: str = "cm") -> DataFrame:
+def interpolate(sites: DataFrame, genmap: DataFrame, by: list[str], pos: str = "pos", bp: str = "bp", cm: str = "cm", width: int = WIDTH) -> DataFrame:
     """sites with rpos: genetic position in Morgans, linear between the map's points; constant before the first and after the last."""
-    rows = _merged(sites, genmap, by, pos, bp, [cm])
-    rows = rows.withColumns({"__b": _carried(by, False, "__side"), "__a": _carried(by, True, "__side")}).where("__side = 1")
+    rows = _stretched(_merged(sites, genmap, by, pos, bp, [cm]), width)
+    rows = _carried(_carried(rows, by, False, False, "__b"), by, True, False, "__a").where("__side = 1")
     x, x0, x1, y0, y1 = F.col("__pos"), F.col("__b.at"), F.col("__a.at"), F.col(f"__b.{cm}"), F.col(f"__a.{cm}")
     value = F.when(x0.isNull(), y1).when(x1.isNull() | (x1 == x0), y0).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
     return rows.select("__row.*", (value * 0.01).alias("rpos"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.operators import windows
+from treeloom.operators import trees, windows
 from treeloom.operators.intervals import at_epoch, with_epochs
 
 
+#: Bytes of the partial matrices that a task holds.
+MATRIX = 256 << 20
+
+
 def pair_events(pairs: DataFrame, epochs: DataFrame, spans: DataFrame | None = None, ages: DataFrame | None = None, keys: list[str] = ["tree_id"]) -> DataFrame:  # noqa: B006
     """(i, j, epoch, num, denom) summed over trees: coalescences in [lo, hi) and time at risk, weighted by the tree's span.
 
@@ -28,6 +36,39 @@ def pair_events(pairs: DataFrame, epochs: DataFrame, spans: DataFrame | None = N
     return exposed.join(events, ["i", "j", "epoch"], "full_outer").select("i", "j", "epoch", F.coalesce("num", F.lit(0.0)).alias("num"), F.coalesce("denom", F.lit(0.0)).alias("denom"))
 
 
+def pair_sums(trees_: DataFrame, spans: DataFrame, epochs: DataFrame, keys: list[str] = ["tree_id"]) -> DataFrame:  # noqa: B006
+    """(i, j, epoch, num, denom) as pair_events has them, straight from trees: the pairs of a tree are summed where the tree
+    is, over all trees of a batch, so that partial matrices are shuffled, not pairs of each tree.
+
+    epochs is a bounded grid and goes with the tasks; the matrices of a batch take MATRIX bytes at a time.
+    """
+    grid = [(r["epoch"], r["lo"], r["hi"]) for r in epochs.orderBy("epoch").collect()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes: dict[int, list] = {}
+            for nodes, span in zip(batch["nodes"], batch["span"], strict=True):
+                t = trees.from_nodes(nodes)
+                sizes.setdefault(t.n, []).append((t, float(span)))
+            for n, own in sizes.items():
+                i, j = np.triu_indices(n, 1)
+                at_once = max(1, MATRIX // (16 * max(1, len(i))))
+                for a in range(0, len(grid), at_once):
+                    part = grid[a : a + at_once]
+                    num, denom, seen = (np.zeros((len(part), len(i))) for _ in range(3))
+                    for t, span in own:
+                        tmrca = t.pair_times()[i, j]
+                        for e, (_, lo, hi) in enumerate(part):
+                            num[e] += span * ((lo <= tmrca) & (tmrca < hi))
+                            denom[e] += span * np.maximum(0.0, np.minimum(hi, tmrca) - max(lo, 0.0))
+                            seen[e] += (lo <= tmrca) & (tmrca < hi) | (lo < tmrca) & (hi > 0)
+                    e, k = np.nonzero(seen)
+                    yield pd.DataFrame({"i": i[k], "j": j[k], "epoch": np.array([x[0] for x in part])[e], "num": num[e, k], "denom": denom[e, k]})
+
+    rows = trees_.join(spans.select(*keys, "span"), keys).select("nodes", F.col("span").cast("double").alias("span"))
+    return rows.mapInPandas(run, "i int, j int, epoch int, num double, denom double").groupBy("i", "j", "epoch").agg(F.sum("num").alias("num"), F.sum("denom").alias("denom"))
+
+
 def ratio(num: Column, denom: Column) -> Column:
     """num / denom, null where nothing is at risk."""
     return num / F.nullif(denom, F.lit(0.0))

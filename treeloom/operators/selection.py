@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import alleles
+from treeloom.operators import trees
 
 
 def eligible(muts: DataFrame, root: int, least: int = 3) -> DataFrame:
@@ -13,21 +16,33 @@ def eligible(muts: DataFrame, root: int, least: int = 3) -> DataFrame:
     return muts.where((F.col("n_branches") == 1) & ~F.col("flipped") & (F.col("branch") != root) & (F.col("n_tips") >= least))
 
 
-def trajectories(muts: DataFrame, branches: DataFrame, clades: DataFrame, epochs: DataFrame, keys: list[str] = ["tree_id"]) -> DataFrame:  # noqa: B006
+def trajectories(muts: DataFrame, trees_: DataFrame, epochs: DataFrame, keys: list[str] = ["tree_id"]) -> DataFrame:  # noqa: B006
     """(snp_id, epoch, lineages, carriers): branches of the mutation's tree that exist at the epoch's start, and those of
-    them below the mutation or its own branch. branches(keys, node, age_begin, age_end).
+    them below the mutation or its own branch. The root has no branch.
 
-    A tree is joined with its own mutations only; every (tree, branch) is counted once for each set of carriers first.
+    The tips below a node are a stretch of the tree's drawing, and the branches of one time share the tips out among them:
+    those within a stretch are counted by two look-ups, so a tree costs its branches, not their pairs. epochs is a bounded
+    grid and goes with the tasks.
     """
-    tips = clades.select(*keys, "node", "tips")
-    at = branches.join(tips, [*keys, "node"]).join(F.broadcast(epochs), (F.col("age_begin") <= F.col("lo")) & (F.col("lo") < F.col("age_end")))
-    lineages = at.groupBy(*keys, "epoch").agg(F.count("*").alias("lineages"))
-    # carriers of each branch that carries a mutation, not of each mutation
-    own = muts.select(*keys, "branch").distinct().join(tips.select(*keys, F.col("node").alias("branch"), F.col("tips").alias("__own")), [*keys, "branch"])
-    inside = own.join(at.select(*keys, "epoch", "tips"), keys).where(F.size(F.array_except("tips", "__own")) == 0)
-    carriers = inside.groupBy(*keys, "branch", "epoch").agg(F.count("*").alias("carriers"))
-    rows = muts.select("snp_id", *keys, "branch").join(lineages, keys).join(carriers, [*keys, "branch", "epoch"], "left")
-    return rows.select("snp_id", *keys, "branch", "epoch", "lineages", F.coalesce("carriers", F.lit(0)).alias("carriers"))
+    grid = [(r["epoch"], r["lo"]) for r in epochs.orderBy("epoch").collect()]
+
+    def kernel(t: trees.Tree, row: dict) -> pd.DataFrame:
+        h, (first, last, _) = t.heights(), t.stretches()
+        own = np.flatnonzero(t.parent >= 0)
+        top = h[t.parent[own]]
+        out = []
+        for epoch, lo in grid:
+            alive = own[(h[own] <= lo) & (lo < top)]
+            if not len(alive):
+                continue
+            begins, ends = np.sort(first[alive]), np.sort(last[alive])
+            # stretches of one time lie side by side: those that begin and end within another lie within it
+            inside = np.maximum(0, np.searchsorted(ends, last, "right") - np.searchsorted(begins, first, "left"))
+            out.append(pd.DataFrame({"branch": np.arange(t.size), "epoch": epoch, "lineages": len(alive), "carriers": inside}))
+        return pd.concat(out) if out else pd.DataFrame({"branch": [], "epoch": [], "lineages": [], "carriers": []})
+
+    counts = trees.map_trees(trees_.select(*keys, "nodes"), kernel, "branch int, epoch int, lineages long, carriers long", keys)
+    return muts.select("snp_id", *keys, "branch").join(counts, [*keys, "branch"])
 
 
 def p_values(paths: DataFrame, n: int) -> DataFrame:

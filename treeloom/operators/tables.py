@@ -63,7 +63,7 @@ def mutation_parents(mutations: DataFrame, clades: DataFrame, keys: list[str] =
     a = m.select(*keys, "pos", "snp_id", "tips")
     b = m.select(*keys, "pos", F.col("snp_id").alias("parent"), F.col("tips").alias("__above"))
     up = a.join(b, [*keys, "pos"]).where((F.size("tips") < F.size("__above")) & (F.size(F.array_except("tips", "__above")) == 0))
-    near = up.groupBy("snp_id").agg(F.min_by("parent", F.size("__above")).alias("parent"))
+    near = up.groupBy("snp_id").agg(F.min_by("parent", F.struct(F.size("__above"), "parent")).alias("parent"))
     return mutations.select("snp_id").join(near, "snp_id", "left")
 
 
@@ -104,7 +104,7 @@ def linkage(haps: DataFrame, reach: int, bucket: int | None = None) -> DataFrame
 def nearest_neighbours(trees_: DataFrame, groups: list[list[int]], keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """(tip, grp, share): shares of each group among the other tips below the first ancestor that has any."""
 
-    def kernel(t: trees.Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: trees.Tree, row: dict) -> pd.DataFrame:
         clades, out = t.clades(), []
         sets = [sum(1 << x for x in g) for g in groups]
         every = 0
@@ -124,7 +124,7 @@ def nearest_neighbours(trees_: DataFrame, groups: list[list[int]], keys: list[st
 def mean_descendants(trees_: DataFrame, groups: list[list[int]], keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """(node, grp, n): tips of each group below each node."""
 
-    def kernel(t: trees.Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: trees.Tree, row: dict) -> pd.DataFrame:
         c = t.clades()
         return pd.DataFrame([(v, g, float((c[v] & sum(1 << x for x in s)).bit_count())) for v in range(t.size) for g, s in enumerate(groups)], columns=["node", "grp", "n"])
 

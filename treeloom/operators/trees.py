@@ -131,15 +131,29 @@ class Tree:
     def pair_times(self) -> np.ndarray:
         """Height of the youngest common ancestor of each pair of tips."""
         h, out = self.heights(), np.zeros((self.n, self.n))
-        clades = [[i] if i < self.n else [] for i in range(self.size)]
+        first, last, order = self.stretches()
         for v in self.upward():
-            for c in self.children[v]:
-                for i in clades[v]:
-                    for j in clades[c]:
-                        out[i, j] = out[j, i] = h[v]
-                clades[v] = clades[v] + clades[c]
+            upto = first[v]
+            for c in sorted(self.children[v], key=lambda c: first[c]):
+                if upto > first[v]:
+                    a, b = order[first[v] : upto], order[first[c] : last[c]]
+                    out[np.ix_(a, b)] = h[v]
+                    out[np.ix_(b, a)] = h[v]
+                upto = last[c]
         return out
 
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each node the stretch [first, last) of the tips below it in a drawing, and the tips in that order."""
+        order = np.array(self.tip_order(), int)
+        first, last = np.full(self.size, self.n), np.zeros(self.size, int)
+        first[order] = np.arange(len(order))
+        last[order] = np.arange(len(order)) + 1
+        for v in self.upward():
+            p = self.parent[v]
+            if p >= 0:
+                first[p], last[p] = min(first[p], first[v]), max(last[p], last[v])
+        return first, last, order
+
     def segments(self) -> pd.DataFrame:
         """Drawing: a vertical line for each branch and a horizontal one for each inner node."""
         h, x = self.heights(), np.zeros(self.size)
@@ -218,18 +232,27 @@ def from_nodes(nodes: list) -> Tree:
     return Tree([x["parent"] for x in nodes], [x["branch_length"] for x in nodes])
 
 
-def map_trees(trees: DataFrame, kernel: Callable[[Tree, pd.Series], pd.DataFrame], schema: str, keys: list[str]) -> DataFrame:
-    """kernel on every tree, its rows with the tree's keys in front. No shuffle: a tree is a row."""
+def map_trees(trees: DataFrame, kernel: Callable[[Tree, dict], pd.DataFrame], schema: str, keys: list[str]) -> DataFrame:
+    """kernel on every tree, its rows with the tree's keys in front. No shuffle: a tree is a row. A row is a dict."""
     types = dict(trees.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                made = kernel(from_nodes(row["nodes"]), row)
-                for i, k in enumerate(keys):
-                    made.insert(i, k, row[k])
-                yield made
+            made, rows = [], 0
+            columns = {c: batch[c].tolist() for c in batch.columns}
+            for k in range(len(batch)):
+                row = {c: x[k] for c, x in columns.items()}
+                one = kernel(from_nodes(row["nodes"]), row)
+                for i, c in enumerate(keys):
+                    one.insert(i, c, row[c])
+                made.append(one)
+                rows += len(one)
+                if rows > 1 << 16:  # few frames for small trees, bounded ones for large
+                    yield pd.concat(made, ignore_index=True)
+                    made, rows = [], 0
+            if made:
+                yield pd.concat(made, ignore_index=True)
 
     return trees.mapInPandas(run, f"{head}, {schema}")
 
@@ -249,7 +272,7 @@ def packed(nodes: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFram
 def with_heights(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """Every node with height, number of tips below and number of children."""
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         return pd.DataFrame({"node": np.arange(t.size), "parent": t.parent, "branch_length": t.length, "height": t.heights(), "n_tips": [c.bit_count() for c in t.clades()], "n_children": [len(c) for c in t.children]})
 
     return map_trees(trees, kernel, "node int, parent int, branch_length double, height double, n_tips int, n_children int", keys)
@@ -258,7 +281,7 @@ def with_heights(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> Da
 def clade_rows(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """(node, tips): the sorted tips below every node."""
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         return pd.DataFrame({"node": np.arange(t.size), "tips": [[i for i in range(t.n) if c >> i & 1] for c in t.clades()]})
 
     return map_trees(trees, kernel, "node int, tips array<int>", keys)
@@ -267,7 +290,7 @@ def clade_rows(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> Data
 def subtrees(trees: DataFrame, tips: list[int], keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """Nodes of each tree's restriction to some tips."""
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         s, events, old = t.subset(tips, [x["num_events"] for x in row["nodes"]])
         return pd.DataFrame({"node": np.arange(s.size), "parent": s.parent, "branch_length": s.length, "num_events": events, "old_node": old})
 
@@ -277,7 +300,7 @@ def subtrees(trees: DataFrame, tips: list[int], keys: list[str] = ["chrom", "tre
 def pair_times(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     """(i, j, tmrca) of all pairs of tips of each tree."""
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         i, j = np.triu_indices(t.n, 1)
         return pd.DataFrame({"i": i, "j": j, "tmrca": t.pair_times()[i, j]})
 
@@ -322,7 +345,7 @@ def compare_adjacent(trees: DataFrame, threshold: float = 1.0) -> DataFrame:
     """
     pairs = _adjacent(trees.select("chrom", "tree_id", "nodes"), ["nodes"])
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         u = from_nodes(row["next_nodes"])
         a, b = t.clades(), u.clades()
         r = clade_correlation(a, b, t.n)

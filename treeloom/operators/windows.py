@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators.intervals import WIDTH
+
 #: Least genetic step between neighbours, and the scale of recombination rates.
 LEAST_STEP, RATE_SCALE = 1e-10, 2500.0
 
@@ -13,9 +15,14 @@ def _along(by: list[str], *order: str):
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def distances(sites: DataFrame, by: list[str], pos: str = "pos", *ties: str) -> DataFrame:
-    """sites with dist: bases to the next site, 1 for the last."""
-    return sites.withColumn("dist", F.coalesce(F.lead(pos).over(_along(by, pos, *ties)) - F.col(pos), F.lit(1)))
+def distances(sites: DataFrame, by: list[str], pos: str = "pos", *ties: str, width: int = WIDTH) -> DataFrame:
+    """sites with dist: bases to the next site, 1 for the last. Stretches of width bases are sorted each by itself."""
+    rows = sites.withColumn("__stretch", F.floor(F.col(pos) / width).cast("long"))
+    w = Window.partitionBy(*by).orderBy("__stretch")
+    after = rows.groupBy(*by, "__stretch").agg(F.min(pos).alias("__first")).select(*by, "__stretch", F.lead("__first").over(w).alias("__after"))
+    nxt = F.lead(pos).over(_along([*by, "__stretch"], pos, *ties))
+    rows = rows.withColumn("__next", nxt).join(after, [*by, "__stretch"])
+    return rows.withColumn("dist", F.coalesce(F.coalesce("__next", "__after") - F.col(pos), F.lit(1))).select(*sites.columns, "dist")
 
 
 def check_rising(sites: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:

@@ -19,6 +19,8 @@ from treeloom.operators import intervals, trees, windows
 from treeloom.operators.trees import Tree
 
 NODES = f"array<{trees.NODE}>"
+#: Haplotypes that a task paints of one chunk at a time.
+TOGETHER = 32
 
 
 def prepare(sites: DataFrame, genmap: DataFrame | None = None, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
@@ -43,10 +45,10 @@ def make_chunks(sites: DataFrame, size: int, overlap: int, by: list[str] = ["chr
 def paint(chunks: DataFrame, theta: float = 0.001, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
     """(by, chunk, hap, site, topology, log_scale): the posterior of each haplotype at the sites that it visits.
 
-    Chunks meet their haplotypes, so a task paints one haplotype of one chunk.
+    A row of work is TOGETHER haplotypes of a chunk, which is read once for all of them.
     """
     n = F.length(F.col("sites")[0]["gt"])
-    rows = chunks.withColumn("hap", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = chunks.withColumn("n", n).withColumn("hap", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(TOGETHER))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from treeloom.kernels import painting
@@ -54,8 +56,9 @@ def paint(chunks: DataFrame, theta: float = 0.001, by: list[str] = ["chrom"]) ->
         for batch in batches:
             for _, row in batch.iterrows():
                 haps, r, _ = _arrays(row["sites"])
-                p = painting.paint(haps, r, int(row["hap"]), theta)
-                yield pd.DataFrame({**{k: row[k] for k in by}, "chunk": row["chunk"], "hap": row["hap"], "site": p.sites, "topology": list(p.topology), "log_scale": p.log_scale})
+                for hap in range(int(row["hap"]), min(int(row["n"]), int(row["hap"]) + TOGETHER)):
+                    p = painting.paint(haps, r, hap, theta)
+                    yield pd.DataFrame({**{k: row[k] for k in by}, "chunk": row["chunk"], "hap": hap, "site": p.sites, "topology": list(p.topology), "log_scale": p.log_scale})
 
     head = ", ".join(f"{k} {dict(chunks.dtypes)[k]}" for k in by)
     return rows.mapInPandas(run, f"{head}, chunk int, hap int, site int, topology array<double>, log_scale double")
@@ -98,7 +101,10 @@ def merge_chunks(built: DataFrame, by: list[str] = ["chrom"]) -> DataFrame:  # n
     kept = built.withColumn("muts", F.filter("muts", lambda m: m["core"])).where(F.size("muts") > 0)
     first = F.array_min(F.transform("muts", lambda m: m["snp"]))
     rows = kept.withColumn("start_snp", first)
-    return rows.withColumn("tree_id", (F.row_number().over(Window.partitionBy(*by).orderBy("start_snp")) - 1).cast("int")).drop("chunk", "tree")
+    # trees stay where they are: their places are numbered and joined back
+    place = [*by, "chunk", "tree"]
+    numbered = rows.select(*place, (F.row_number().over(Window.partitionBy(*by).orderBy("start_snp")) - 1).cast("int").alias("tree_id"))
+    return rows.join(numbered, place).drop("chunk", "tree")
 
 
 def dated(genealogy: DataFrame, sites: DataFrame, mu: float, ne: float, rates: dating.Rates | None = None, seed: int = 1, samples: int | None = None, ages: list[float] | None = None, most: int | None = None, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
@@ -182,7 +188,7 @@ def map_sites(trees_: DataFrame, sites: DataFrame, keys: list[str] = ["chrom", "
     """sites(keys, snp_id, gt) placed on the tree they name: branches, kind and mismatch. One tree's sites are an array."""
     own = sites.groupBy(*keys).agg(F.collect_list(F.struct("snp_id", "gt")).alias("__sites"))
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         out = []
         for s in row["__sites"]:
             p = mapping.place(t, np.array([c == "1" for c in s["gt"]], int))
@@ -196,7 +202,7 @@ def equivalent_branches(trees_: DataFrame) -> DataFrame:
     """(chrom, tree_id, next_tree_id, branch, next_branch): branches that go on in the next tree of the chromosome."""
     pairs = trees._adjacent(trees_.select("chrom", "tree_id", "nodes"), ["nodes"])
 
-    def kernel(t: Tree, row: pd.Series) -> pd.DataFrame:
+    def kernel(t: Tree, row: dict) -> pd.DataFrame:
         link = mapping.equivalent(t, trees.from_nodes(row["next_nodes"]))
         at = np.flatnonzero(link >= 0)
         return pd.DataFrame({"next_tree_id": row["next_tree_id"], "branch": at, "next_branch": link[at]})

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeloom.functions import alleles
-from treeloom.operators import cleaning, extract, intervals, mutation, rates, tables, trees, windows
+from treeloom.operators import cleaning, extract, intervals, mutation, rates, tables, trees
 from treeloom.plans import inference, views
-from treeloom.plans.queries import BY, aged, branches, dists, grid, groups, heights, pair_table, query, r6, spans, tree_table
+from treeloom.plans.queries import _CONTEXT, _L02, BY, aged, branches, dists, grid, groups, heights, pair_table, query, r6, spans, tree_table
 from treeloom.plans.views import sql
 from treeloom.sources import read, write
 from treeloom.streaming import events as streams
@@ -55,10 +55,9 @@ def s12(spark, d):
     return got.select(F.col("snp").cast("long").alias("snp"), "pos", "dist", "tree_id", F.size("branches").alias("n_branches"), "flipped")
 
 
-@query("s16_vcf_scan", sql("SELECT snp_id, sum(allele)::BIGINT AS carriers FROM haps WHERE hap < 40 GROUP BY 1 HAVING sum(allele) BETWEEN 1 AND 39", "haps"))
+@query("s16_vcf_scan", sql("SELECT snp_id, sum(allele)::BIGINT AS carriers FROM haps GROUP BY 1 HAVING sum(allele) BETWEEN 1 AND count(*) - 1", "haps"))
 def s16(spark, d):
-    s = views.sites(spark, d).withColumn("gt", F.substring("gt", 1, 40))
-    got = read.vcf(tables.vcf_lines(s).select("value"))
+    got = read.vcf(tables.vcf_lines(views.sites(spark, d)).select("value"))
     return got.select(F.regexp_replace("rsid", "rs", "").cast("int").alias("snp_id"), alleles.carriers(F.col("gt")).cast("long").alias("carriers"))
 
 
@@ -68,19 +67,28 @@ def s21(spark, d):
     return read.newick_trees(nw).select("tree_id", F.aggregate("nodes", F.lit(0.0), lambda a, x: a + x["branch_length"]).alias("total_length"))
 
 
-@query("k07_nhx")
+def _newick_sql(note: str, scale: str) -> str:
+    """Trees of the view as text, level by level: tips, the nodes above two of them each, and so on; note(node) in each."""
+    level = lambda k, below, first, last: f"l{k} AS (SELECT n.tree_id, n.node, n.parent, '(' || string_agg(c.text, ',' ORDER BY c.node) || ')' || {note} || printf(':%.5f', n.branch_length * {scale}) AS text FROM nodes n JOIN l{below} c ON c.tree_id = n.tree_id AND c.parent = n.node WHERE n.node BETWEEN {first} AND {last} GROUP BY n.tree_id, n.node, n.parent, n.branch_length)"
+    tips = f"l0 AS (SELECT n.tree_id, n.node, n.parent, n.node || {note} || printf(':%.5f', n.branch_length * {scale}) AS text FROM nodes n WHERE n.node < 8)"
+    root = f"newick AS (SELECT n.tree_id, '(' || string_agg(c.text, ',' ORDER BY c.node) || ')' || {note} || ';' AS newick FROM nodes n JOIN l2 c ON c.tree_id = n.tree_id AND c.parent = n.node WHERE n.node = 14 GROUP BY n.tree_id, n.node)"
+    return ",\n".join([tips, level(1, 0, 8, 11), level(2, 1, 12, 13), root])
+
+
+@query("k07_nhx", sql(_newick_sql("'[&&NHX:S=' || n.node || ']'", "1") + " SELECT CAST(tree_id % 5 AS INTEGER) AS chrom, tree_id, newick AS nhx, (SELECT string_agg(parent + 1, ',' ORDER BY node) FROM nodes WHERE nodes.tree_id = newick.tree_id) AS oriented FROM newick", "nodes"))
 def k07(spark, d):
     def kernel(t, row):
         import pandas as pd
 
         return pd.DataFrame({"nhx": [t.nhx([str(v) for v in range(t.size)])], "oriented": [t.oriented()]})
 
-    return trees.map_trees(views.trees(spark, d), kernel, "nhx string, oriented array<int>", TREE)
+    out = trees.map_trees(views.trees(spark, d), kernel, "nhx string, oriented array<int>", TREE)
+    return out.withColumn("oriented", F.array_join(F.col("oriented").cast("array<string>"), ","))
 
 
-@query("k12_rate_matrix")
+@query("k12_rate_matrix", sql("r AS (SELECT epoch, round(sum(num) / nullif(sum(denom), 0), 9) AS rate FROM tree_events GROUP BY 1) SELECT 0 AS g, " + ", ".join(f'max(CASE WHEN epoch = {e} THEN rate END) AS "{e}"' for e in range(10)) + " FROM r", "tree_events"))
 def k12(spark, d):
-    return rates.matrix(rates.total_rates(tree_table(spark, d)).withColumn("g", F.lit(0)), ["g"], list(range(10)))
+    return rates.matrix(rates.total_rates(tree_table(spark, d)).select(F.lit(0).alias("g"), "epoch", F.round("rate", 9).alias("rate")), ["g"], list(range(10)))
 
 
 @query("k14_constant_rates", "SELECT CAST(e AS INTEGER) AS epoch, 1.0 / 30000 AS rate FROM range(10) r(e)")
@@ -88,10 +96,15 @@ def k14(spark, d):
     return rates.constant_rates(grid(spark), 30000.0)
 
 
-@query("k15_category_matrix")
+#: Mutations of each context in each epoch, as a table named mutc.
+_MUTC = _CONTEXT.replace("FROM muts WHERE anc <> der", "FROM ages JOIN epochs ON lo < age_end AND hi > age_begin WHERE anc <> der AND n_branches = 1 AND age_end > age_begin").replace("y AS (SELECT", "y AS (SELECT epoch, (least(hi, age_end) - greatest(lo, age_begin)) / (age_end - age_begin) AS f,")
+_MUTC = _MUTC.replace("\nSELECT CAST(", ", mutc AS (SELECT CAST(").replace("AS category, count(*) AS n FROM y GROUP BY 1", "AS category, epoch, sum(f) AS mut FROM y GROUP BY 1, 2)")
+
+
+@query("k15_category_matrix", sql(_MUTC + " SELECT epoch, " + ", ".join(f'max(CASE WHEN category = {c} THEN round(mut, 6) END) AS "{c}"' for c in range(96)) + " FROM mutc GROUP BY 1", "ages", "epochs"))
 def k15(spark, d):
     m = mutation.fractions(mutation.mapped(mutation.with_context(aged(spark, d))), grid(spark), ["category"])
-    return mutation.rate_matrix(m, "mut")
+    return mutation.rate_matrix(m.withColumn("mut", r6("mut")), "mut")
 
 
 @query("k23_dist_lines", sql("SELECT pos || ' ' || dist AS value FROM dists", "dists"))
@@ -125,10 +138,10 @@ def g15(spark, d):
     return trees.map_trees(views.trees(spark, d), kernel, "node int, label int", TREE).select("tree_id", "node", "label")
 
 
-@query("g17_unlink_tips")
+@query("g17_unlink_tips", sql("c AS (SELECT tree_id, branch AS node, count(*) AS k FROM muts WHERE n_branches = 1 GROUP BY 1, 2), e AS (SELECT tree_id, min(snp_id) AS b, max(snp_id) AS e FROM muts GROUP BY 1) SELECT n.chrom, n.tree_id, n.node, n.parent, n.branch_length, CAST(CASE WHEN n.node IN (1, 5) THEN coalesce(k, 0) ELSE num_events END AS FLOAT) AS num_events, CAST(CASE WHEN n.node IN (1, 5) THEN coalesce(b, snp_begin) ELSE snp_begin END AS BIGINT) AS snp_begin, CAST(CASE WHEN n.node IN (1, 5) THEN coalesce(e, snp_end) ELSE snp_end END AS BIGINT) AS snp_end FROM nodes n LEFT JOIN c USING (tree_id, node) LEFT JOIN e USING (tree_id)", "nodes", "muts"))
 def g17(spark, d):
     tips = spark.createDataFrame([(1,), (5,)], "node int")
-    return extract.unlinked(trees.exploded(views.trees(spark, d)), tips, views.muts(spark, d))
+    return extract.unlinked(trees.exploded(views.trees(spark, d)), tips, views.muts(spark, d)).select(*TREE, "node", "parent", "branch_length", "num_events", "snp_begin", "snp_end")
 
 
 @query("g19_coalescence_times", sql("x AS (SELECT c.tree_id, c.node AS branch, list_sort(list(DISTINCT c.leaf)) AS leaves FROM clades c GROUP BY 1, 2) SELECT m.snp_id, CAST((SELECT count(*) FROM x y JOIN x z ON z.tree_id = m.tree_id AND z.branch = m.branch WHERE y.tree_id = m.tree_id AND y.branch >= 8 AND list_has_all(z.leaves, y.leaves)) AS INTEGER) AS n_derived FROM muts m", "clades", "muts"))
@@ -163,7 +176,7 @@ def v01(spark, d):
     return trees.drawing(views.trees(spark, d)).where("kind = 'v'").select("tree_id", "node", "y0")
 
 
-@query("e01_trees_of_interest")
+@query("e01_trees_of_interest", sql(_newick_sql("''", "28") + ", m AS (SELECT * FROM muts WHERE chrom = 2) SELECT tree_id, (SELECT min(pos) FROM m WHERE m.tree_id = newick.tree_id) AS start, newick FROM newick WHERE tree_id % 5 = 2 AND tree_id BETWEEN (SELECT arg_min(tree_id, pos) FROM m WHERE pos >= 1000000) AND (SELECT arg_min(tree_id, pos) FROM m WHERE pos >= 35000000)", "nodes", "muts"))
 def e01(spark, d):
     return extract.tree_at(views.trees(spark, d), views.muts(spark, d), 2, 1_000_000, 35_000_000).select("tree_id", "start", "newick")
 
@@ -184,12 +197,12 @@ def u02(spark, d):
     return old.select("tree_id", "new_id", F.explode(F.sequence(F.lit(0), F.size("nodes") - 1)).alias("node"))
 
 
-@query("r06_r07_group_lineages")
+@query("r06_r07_group_lineages", sql("g AS (SELECT tree_id, node, count(*) AS n, bool_or(leaf IN (0, 1, 2, 3)) AS has_some, bool_or(leaf NOT IN (4, 5)) AS has_more FROM clades GROUP BY 1, 2), b AS (SELECT br.* FROM branches br JOIN g USING (tree_id, node) WHERE n > 1 AND has_some AND has_more), d AS (SELECT chrom, tree_id, age, sum(d) AS d FROM (SELECT chrom, tree_id, age_begin AS age, 1 AS d FROM b UNION ALL SELECT chrom, tree_id, age_end, -1 FROM b) GROUP BY 1, 2, 3) SELECT chrom, tree_id, age, CAST(sum(d) OVER (PARTITION BY tree_id ORDER BY age) AS BIGINT) AS lineages FROM d", "clades", "branches"))
 def r06(spark, d):
     return mutation.group_lineages(heights(spark, d), trees.clade_rows(views.trees(spark, d)), [0, 1, 2, 3], [4, 5])
 
 
-@query("a22_mean_rate")
+@query("a22_mean_rate", sql("m AS (SELECT epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) / (age_end - age_begin)) AS mut FROM ages JOIN epochs ON lo < age_end AND hi > age_begin WHERE anc <> der AND n_branches = 1 AND age_end > age_begin GROUP BY 1), o AS (SELECT epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) * k) * 960 AS opp FROM segments JOIN epochs ON lo < age_end AND hi > age_begin GROUP BY 1) SELECT epoch, round(3 * coalesce(mut, 0) / nullif(opp, 0), 6) AS rate FROM o FULL JOIN m USING (epoch)", "ages", "segments", "epochs"))
 def a22(spark, d):
     m = mutation.with_context(aged(spark, d))
     bases = views.trees(spark, d).select("chrom", "tree_id", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("category"), F.lit(10.0).alias("n"))
@@ -228,8 +241,8 @@ def o07(spark, d):
 def m01(spark, d):
     t = views.trees(spark, d)
     # the tips of the view's trees are its first haplotypes, views.TIPS of them; the trees have no others
-    s = cleaning.segregating(views.sites(spark, d).withColumn("gt", F.substring("gt", 1, views.TIPS))).select("snp_id", "gt").crossJoin(F.broadcast(t.select("chrom", "tree_id")))
-    return inference.map_sites(t, s)
+    s = cleaning.segregating(views.sites(spark, d).withColumn("gt", F.substring("gt", 1, views.TIPS))).select("snp_id", "gt", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("tree_id"))
+    return inference.map_sites(t, s.join(t.select("chrom", "tree_id"), "tree_id"))
 
 
 @query("m10_equivalent_branches")
@@ -260,6 +273,15 @@ def p22(spark, d):
     return out.select("tree_id", F.size("samples").alias("n"), r6(F.aggregate(F.col("samples")[1], F.lit(0.0), lambda a, x: a + x)).alias("total_length"))
 
 
+@query("o11_population_size")
+def o11(spark, d):
+    """The loop: rates, branch lengths under them, rates again; two rounds."""
+    s = inference.prepare(_sites(spark, d))
+    g = inference.merge_chunks(inference.build_topology(inference.make_chunks(s, 40, 10), 0.01))
+    rates_, _ = inference.population_size(g, s, 1e-5, 1000.0, [0.0, 100.0, 1000.0, 10_000.0], iterations=2)
+    return rates_.select("epoch", "lo", r6(F.col("rate") * 1e6).alias("rate"))
+
+
 @query("a24_optimise")
 def a24(spark, d):
     return inference.optimise(_chunks(spark, d), [0.001, 0.02], [1.0])
@@ -277,7 +299,34 @@ def tk01(spark, d):
     return _tables(spark, d)["edges"].groupBy("chrom").agg(F.count("*").alias("n"), F.sum("left").alias("lefts"))
 
 
-@query("tk02_sorted_edges")
+#: Nodes above tips with their numbers in the tables, and the edges of the tables.
+_EDGES = """ids AS (SELECT n.chrom, n.tree_id, n.node, h.height, 7 + row_number() OVER (PARTITION BY n.chrom ORDER BY h.height, n.tree_id, n.node) AS id FROM nodes n JOIN heights h USING (tree_id, node) WHERE n.node >= 8),
+edges AS (SELECT n.chrom, n.tree_id, n.tree_id * 100.0::DOUBLE AS "left", n.tree_id * 100.0::DOUBLE + 500 AS "right", p.id AS parent, coalesce(c.id, n.node) AS child, p.height AS parent_time
+  FROM nodes n JOIN ids p ON p.tree_id = n.tree_id AND p.node = n.parent LEFT JOIN ids c ON c.tree_id = n.tree_id AND c.node = n.node)"""
+
+
+@query("tk01_tables", sql(_EDGES + """, s AS (SELECT DISTINCT chrom, pos FROM muts), m AS (SELECT x.chrom, coalesce(ids.id, x.branch) AS node, pos, der FROM muts x LEFT JOIN ids ON ids.tree_id = x.tree_id AND ids.node = x.branch)
+SELECT 'nodes' AS name, chrom, count(*) AS n, sum(id)::DOUBLE AS a, sum(height)::DOUBLE AS b FROM (SELECT chrom, id, height FROM ids UNION ALL SELECT DISTINCT chrom, node, 0.0 FROM nodes WHERE node < 8) GROUP BY 2
+UNION ALL SELECT 'edges', chrom, count(*), sum(parent * 3 + child)::DOUBLE, sum(parent_time)::DOUBLE FROM edges GROUP BY 2
+UNION ALL SELECT 'sites', chrom, count(*), sum(pos)::DOUBLE, 0.0 FROM s GROUP BY 2
+UNION ALL SELECT 'mutations', chrom, count(*), sum(node)::DOUBLE, sum(pos * instr('ACGT', der))::DOUBLE FROM m GROUP BY 2""", "heights", "muts"))
+def tk01b(spark, d):
+    t = _tables(spark, d)
+    total = lambda c: F.sum(c).cast("double")
+    some = {
+        "nodes": (total(F.col("id")), total(F.col("time"))),
+        "edges": (total(F.col("parent") * 3 + F.col("child")), total(F.col("parent_time"))),
+        "sites": (total(F.col("position")), F.lit(0.0)),
+        "mutations": (total(F.col("node")), total(F.col("position") * F.instr(F.lit("ACGT"), F.col("derived_state")))),
+    }
+    out = None
+    for name, (a, b) in some.items():
+        own = t[name].groupBy("chrom").agg(F.count("*").alias("n"), a.alias("a"), b.alias("b")).withColumn("name", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("tk02_sorted_edges", sql(_EDGES + ' SELECT *, CAST(row_number() OVER (PARTITION BY chrom ORDER BY parent_time, parent, child, "left") AS INTEGER) AS rank FROM edges', "heights"))
 def tk02(spark, d):
     return tables.sorted_edges(_tables(spark, d)["edges"])
 
@@ -287,7 +336,7 @@ def tk05(spark, d):
     return tables.distinct_sites(_tables(spark, d)["sites"]).select("chrom", "position")
 
 
-@query("tk06_mutation_parents")
+@query("tk06_mutation_parents", sql("m AS (SELECT snp_id, tree_id, branch, pos // 100000 AS pos FROM muts), n AS (SELECT tree_id, node, count(*) AS n FROM clades GROUP BY 1, 2), u AS (SELECT a.snp_id, arg_min(b.snp_id, (n.n, b.snp_id)) AS parent FROM m a JOIN paths p ON p.tree_id = a.tree_id AND p.node = a.branch AND p.above <> a.branch JOIN m b ON b.tree_id = a.tree_id AND b.pos = a.pos AND b.branch = p.above JOIN n ON n.tree_id = b.tree_id AND n.node = b.branch GROUP BY 1) SELECT m.snp_id, parent FROM m LEFT JOIN u USING (snp_id)", "muts", "clades"))
 def tk06(spark, d):
     m = views.muts(spark, d).withColumn("pos", F.floor(F.col("pos") / 100000))
     return tables.mutation_parents(m, trees.clade_rows(views.trees(spark, d)))
@@ -324,32 +373,50 @@ def tk14(spark, d):
     return g.select("snp_id", alleles.carriers(F.col("gt")).cast("long").alias("carriers"))
 
 
-@query("tk15_vcf_lines")
+@query("tk15_vcf_lines", sql("SELECT concat_ws(chr(9), chrom, pos, rsid, anc, alt, '.', 'PASS', '.', 'GT', array_to_string(list_transform(range(0, length(gt) // 2), lambda i: substr(gt, 2 * i + 1, 1) || '|' || substr(gt, 2 * i + 2, 1)), chr(9))) AS value FROM sites", "sites"))
 def tk15(spark, d):
     return tables.vcf_lines(views.sites(spark, d)).select("value")
 
 
-@query("o10_prepare_input")
+_O10 = """x AS (SELECT snp_id, anc, alt, substr('ACGT', (snp_id * 3) % 4 + 1, 1) AS a, 3 * snp_id + 1 AS pos FROM sites),
+k AS (SELECT snp_id, sum(allele) AS c, count(*) AS n FROM haps WHERE grp <> 9 GROUP BY 1),
+p AS (SELECT x.*, CASE WHEN a = anc THEN c ELSE n - c END AS carriers FROM x JOIN k USING (snp_id) WHERE a IN (anc, alt) AND c BETWEEN 1 AND n - 1),
+f AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (ORDER BY p RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS near, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (ORDER BY p) - CASE WHEN ok THEN 0 ELSE 1 END AS before FROM mask WHERE chrom = 1),
+s AS (SELECT p.*, f.before FROM p JOIN f ON f.p = p.pos WHERE ok AND near < 8),
+c AS (SELECT snp_id, CAST(count(DISTINCT grp) AS INTEGER) AS n_groups FROM haps WHERE grp <> 9 GROUP BY 1)
+SELECT snp_id, pos::BIGINT AS pos, CASE WHEN a = anc THEN anc ELSE alt END AS anc, CASE WHEN a = anc THEN alt ELSE anc END AS alt, carriers::BIGINT AS carriers,
+  greatest(coalesce((lead(pos) OVER w - pos) - (lead(before) OVER w - before), 1), 1)::BIGINT AS dist,
+  nullif(substr('ACGTTGCA', (pos - 2) % 8 + 1, CASE WHEN pos > 1 THEN 1 ELSE 0 END), '') AS upstream, substr('ACGTTGCA', pos % 8 + 1, 1) AS downstream, n_groups
+FROM s JOIN c USING (snp_id) WINDOW w AS (ORDER BY pos)"""
+
+
+@query("o10_prepare_input", sql(_O10, "sites", "mask"))
 def o10(spark, d):
-    """Unique positions, polarised, samples removed, annotated."""
-    s = cleaning.unique_positions(views.sites(spark, d))
+    """Unique positions, polarised, samples of a group removed, masked, annotated."""
+    s = cleaning.unique_positions(views.sites(spark, d).withColumn("pos", (F.col("snp_id") * 3 + 1).cast("long")))
     s = cleaning.polarise(s, F.substring(F.lit("ACGT"), (F.col("snp_id") * 3 % 4 + 1).cast("int"), F.lit(1)))
-    s = cleaning.remove_haplotypes(s, list(range(0, 40)))
-    counts = cleaning.group_counts(views.haps(spark, d).withColumn("grp", F.col("grp").cast("string")))
-    return cleaning.annotate(s.withColumn("seq", F.repeat(F.lit("ACGTTGCA"), 2000)), "seq", counts).select("snp_id", "pos", "anc", "alt", "upstream", "downstream", F.size("freq").alias("n_groups"))
+    # haplotypes have places in a site's string by vec_id
+    labels = [r["label"] for r in views.table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
+    s = cleaning.remove_haplotypes(s, [i for i, x in enumerate(labels) if x != 9])
+    bases = views.mask(spark, d).withColumn("p", F.col("p").cast("long"))
+    s = cleaning.filter_by_mask(s, bases, reach=20, most=8)
+    counts = cleaning.group_counts(views.haps(spark, d).where("grp <> 9").withColumn("grp", F.col("grp").cast("string")))
+    out = cleaning.annotate(s.withColumn("seq", F.repeat(F.lit("ACGTTGCA"), 2000)), "seq", counts)
+    return out.select("snp_id", "pos", "anc", "alt", alleles.carriers(F.col("gt")).cast("long").alias("carriers"), F.col("dist").cast("long").alias("dist"), "upstream", "downstream", F.size("freq").alias("n_groups"))
 
 
-@query("o11_rates_by_epoch_of_groups")
-def o11(spark, d):
-    return rates.group_rates(pair_table(spark, d), groups(spark))
+@query("a05_group_pair_sums", sql("SELECT least(a.grp, b.grp) AS g1, greatest(a.grp, b.grp) AS g2, epoch, round(sum(num), 3)::DOUBLE AS num, round(sum(denom), 3)::DOUBLE AS denom FROM events_ij e JOIN grp_of a ON a.hap = e.i JOIN grp_of b ON b.hap = e.j GROUP BY 1, 2, 3", "events_ij", "grp_of"))
+def a05b(spark, d):
+    return rates.group_rates(pair_table(spark, d), groups(spark)).select("g1", "g2", "epoch", F.round("num", 3).alias("num"), F.round("denom", 3).alias("denom"))
 
 
-@query("o12_selection_scan")
+@query("l02_selection_over_lifetime", sql(_L02, "muts", "clades", "branches", "epochs"))
 def o12(spark, d):
     from treeloom.operators import selection
     from treeloom.plans.queries import paths_table
 
-    return selection.over_lifetime(selection.p_values(paths_table(spark, d), views.TIPS))
+    out = selection.over_lifetime(selection.p_values(paths_table(spark, d), views.TIPS))
+    return out.select("snp_id", r6("log_p").alias("log_p"), r6("log_p_half").alias("log_p_half"))
 
 
 @query("j12_opportunity_per_tree", sql("SELECT tree_id, round(sum(age_end - age_begin), 6) AS time FROM branches GROUP BY 1", "branches"))
@@ -365,7 +432,7 @@ def c09(spark, d):
     return spans(spark, d).select("chrom", "tree_id", F.floor((F.row_number().over(w) - 1) / 2).cast("int").alias("block"))
 
 
-@query("w12_restricted_lineages")
+@query("w12_restricted_lineages", sql("g AS (SELECT tree_id, node, count(*) AS n, bool_or(leaf IN (1, 3, 5)) AS has_some, bool_or(leaf NOT IN (-1)) AS has_more FROM clades GROUP BY 1, 2), b AS (SELECT br.* FROM branches br JOIN g USING (tree_id, node) WHERE n > 1 AND has_some AND has_more), d AS (SELECT chrom, tree_id, age, sum(d) AS d FROM (SELECT chrom, tree_id, age_begin AS age, 1 AS d FROM b UNION ALL SELECT chrom, tree_id, age_end, -1 FROM b) GROUP BY 1, 2, 3) SELECT chrom, tree_id, age, CAST(sum(d) OVER (PARTITION BY tree_id ORDER BY age) AS BIGINT) AS lineages FROM d", "clades", "branches"))
 def w12(spark, d):
     return mutation.group_lineages(heights(spark, d), trees.clade_rows(views.trees(spark, d)), [1, 3, 5])
 
@@ -394,7 +461,3 @@ def ext1(spark, d):
 @query("ext_sessions", "g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k".join(["WITH ", ""]))
 def ext2(spark, d):
     return streams.sessions(views.table(spark, d, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
-
-
-def check_windows(sites):
-    return windows.check_rising(sites, BY)

@@ -337,7 +337,7 @@ def a03(spark, d):
 
 
 def pair_table(spark, d):
-    return rates.pair_events(trees.pair_times(views.trees(spark, d)), grid(spark), spans(spark, d))
+    return rates.pair_sums(views.trees(spark, d), spans(spark, d), grid(spark))
 
 
 @query("a04_total_rates", sql("SELECT epoch, round(sum(num), 3) AS num, round(sum(denom), 3) AS denom, round(sum(num) / nullif(sum(denom), 0), 9) AS rate FROM events_ij GROUP BY 1", "events_ij"))
@@ -554,7 +554,13 @@ def u08(spark, d):
 
 
 # ---- functions ----
-@query("x04_selection_log_p")
+#: log10 of the chance that fn or more of n tips carry what fk of k lineages do; log k! as lgamma(k + 1).
+_LOG_P = """CASE WHEN {fk} >= 2 AND {k} > {fk} AND {fn} <= {n} - {k} + {fk} THEN
+  log10(list_sum(list_transform(range({fn}, {n} - {k} + {fk} + 1), lambda f: exp(lgamma(f) - lgamma({fk}) - lgamma(f - {fk} + 1) + lgamma({n} - f) - lgamma({k} - {fk}) - lgamma({n} - f - {k} + {fk} + 1) - lgamma({n}) + lgamma({k}) + lgamma({n} - {k} + 1)))))
+  ELSE 1.0 END"""
+
+
+@query("x04_selection_log_p", "SELECT k, fk, fn, round(" + _LOG_P.format(n=40, k="k", fk="fk", fn="fn") + ", 6) + 0.0 AS log_p FROM (SELECT DISTINCT CAST(o_orderkey % 19 + 2 AS INTEGER) AS k, CAST(o_custkey % 5 + 2 AS INTEGER) AS fk, CAST(o_orderkey % 30 + 3 AS INTEGER) AS fn FROM orders)")
 def x04(spark, d):
     k = views.table(spark, d, "orders").select((F.col("o_orderkey") % 19 + 2).cast("int").alias("k"), (F.col("o_custkey") % 5 + 2).cast("int").alias("fk"), (F.col("o_orderkey") % 30 + 3).cast("int").alias("fn")).distinct()
     return k.select("k", "fk", "fn", r6(alleles.selection_log_p(40, F.col("fn"), F.col("k"), F.col("fk"))).alias("log_p"))
@@ -658,9 +664,25 @@ def g13(spark, d):
     return trees.compare_adjacent(views.trees(spark, d)).select("tree_id", r6("branch_score").alias("branch_score"))
 
 
-@query("g11_g14_tree_distances")
+_G11 = f"""{_NEXT}, sz AS (SELECT tree_id, node, count(*) AS n FROM clades GROUP BY 1, 2),
+pr AS (SELECT nx.tree_id, x.node AS a, y.node AS b, x.n AS na, y.n AS nb FROM nx JOIN sz x ON x.tree_id = nx.tree_id JOIN sz y ON y.tree_id = nx.b),
+sh AS (SELECT nx.tree_id, x.node AS a, y.node AS b, count(*) AS k FROM nx JOIN clades x ON x.tree_id = nx.tree_id JOIN clades y ON y.tree_id = nx.b AND y.leaf = x.leaf GROUP BY 1, 2, 3),
+r AS (SELECT tree_id, a, b, CASE WHEN k = na AND na = nb THEN 1.0 WHEN na = 8 OR nb = 8 THEN 0.0 ELSE greatest(0.0, (coalesce(k, 0) - na * nb / 8.0) / sqrt(na * (8 - na) / 8.0 * (nb * (8 - nb) / 8.0))) END AS r FROM pr LEFT JOIN sh USING (tree_id, a, b)),
+one AS (SELECT tree_id, a, max(r) AS best FROM r WHERE a BETWEEN 8 AND 13 GROUP BY 1, 2), two AS (SELECT tree_id, b, max(r) AS best FROM r WHERE b BETWEEN 8 AND 13 GROUP BY 1, 2),
+l AS (SELECT cl.tree_id, c, branch_length AS bl FROM cl JOIN nodes USING (tree_id, node)),
+x AS (SELECT nx.tree_id, c, bl FROM nx JOIN l ON l.tree_id = nx.tree_id), y AS (SELECT nx.tree_id, c, bl FROM nx JOIN l ON l.tree_id = nx.b),
+score AS (SELECT coalesce(x.tree_id, y.tree_id) AS tree_id, sqrt(sum((coalesce(x.bl, 0) - coalesce(y.bl, 0)) ** 2)) AS branch_score FROM x FULL JOIN y ON x.tree_id = y.tree_id AND x.c = y.c GROUP BY 1),
+st AS (SELECT tree_id, row_number() OVER w AS k, height - coalesce(lag(height) OVER w, 0) AS t FROM heights WHERE node >= 8 WINDOW w AS (PARTITION BY tree_id ORDER BY height)),
+anc AS (SELECT nx.tree_id, sqrt(sum((p.t - q.t) ** 2)) / 7 AS ancestor_time FROM nx JOIN st p ON p.tree_id = nx.tree_id JOIN st q ON q.tree_id = nx.b AND q.k = p.k GROUP BY 1)
+SELECT chrom, tree_id, b AS next_tree_id, round((SELECT avg(1 - best * best) FROM one WHERE one.tree_id = nx.tree_id), 6) AS correlation,
+  CAST((SELECT count(*) FROM one WHERE one.tree_id = nx.tree_id AND best < 0.9) + (SELECT count(*) FROM two WHERE two.tree_id = nx.tree_id AND best < 0.9) AS INTEGER) AS partitions,
+  round(branch_score, 6) AS branch_score, round(ancestor_time, 6) AS ancestor_time FROM nx JOIN score USING (tree_id) JOIN anc USING (tree_id)"""
+
+
+@query("g11_g14_tree_distances", sql(_G11, "clades", "heights"))
 def g11(spark, d):
-    return trees.compare_adjacent(views.trees(spark, d), 0.9)
+    out = trees.compare_adjacent(views.trees(spark, d), 0.9)
+    return out.select("chrom", "tree_id", "next_tree_id", r6("correlation").alias("correlation"), "partitions", r6("branch_score").alias("branch_score"), r6("ancestor_time").alias("ancestor_time"))
 
 
 @query("g16_ancient_to_modern", sql("SELECT tree_id, node, branch_length + CASE WHEN node < 8 THEN node * 10 ELSE 0 END AS branch_length FROM nodes", "nodes"))
@@ -692,11 +714,16 @@ def c04(spark, d):
     return rates.total_rates(tree_table(spark, d)).select("epoch", F.round("rate", 9).alias("rate"))
 
 
-@query("c08_epochs")
+@query(
+    "c08_epochs",
+    """SELECT 'default' AS grid, CAST(e AS INTEGER) AS epoch, round(CASE WHEN e = 0 THEN 0.0 WHEN e = 1 THEN 1e3 / 28 WHEN e = 30 THEN 1e8 / 28 ELSE 10 ** (3 + 4 * (e - 1) / 28.0) / 28 END, 3) AS lo FROM range(31) r(e)
+UNION ALL SELECT 'bins', CAST(e AS INTEGER), round(CASE WHEN e = 0 THEN 0.0 WHEN e <= 21 THEN 10 ** (3 + (e - 1) * 0.2) / 28 ELSE greatest(1e8, 10 * (1e7 / 28)) / 28 END, 3) FROM range(23) r(e)""",
+)
 def c08(spark, d):
     from treeloom.functions.epochs import binned_epochs, default_epochs
 
-    return epoch_table(spark, default_epochs()).select(F.lit("default").alias("grid"), "epoch", "lo").unionByName(epoch_table(spark, binned_epochs("3,7,0.2")).select(F.lit("bins").alias("grid"), "epoch", "lo"))
+    both = epoch_table(spark, default_epochs()).select(F.lit("default").alias("grid"), "epoch", "lo").unionByName(epoch_table(spark, binned_epochs("3,7,0.2")).select(F.lit("bins").alias("grid"), "epoch", "lo"))
+    return both.select("grid", "epoch", F.round("lo", 3).alias("lo"))
 
 
 _R01 = """mf AS (SELECT epoch, sum((least(hi, age_end) - greatest(lo, age_begin)) / (age_end - age_begin)) AS mut FROM ages JOIN epochs ON lo < age_end AND hi > age_begin WHERE n_branches = 1 AND age_end > age_begin GROUP BY 1),
@@ -741,8 +768,7 @@ def r09(spark, d):
 def paths_table(spark, d):
     tips = heights(spark, d).select("tree_id", F.col("node").alias("branch"), "n_tips")
     m = selection.eligible(views.muts(spark, d).join(tips, ["tree_id", "branch"]), 14)
-    b = branches(spark, d).select("tree_id", "node", "age_begin", "age_end")
-    return selection.trajectories(m, b, trees.clade_rows(views.trees(spark, d)), grid(spark)).join(tips, ["tree_id", "branch"])
+    return selection.trajectories(m, views.trees(spark, d), grid(spark)).join(tips, ["tree_id", "branch"])
 
 
 _L01 = """el AS (SELECT m.snp_id, m.tree_id, m.branch, count(*) AS n_tips FROM muts m JOIN clades c ON c.tree_id = m.tree_id AND c.node = m.branch WHERE n_branches = 1 AND NOT flipped AND branch <> 14 GROUP BY 1, 2, 3 HAVING count(*) > 2),
@@ -757,7 +783,12 @@ def l01(spark, d):
     return paths_table(spark, d).select("snp_id", "epoch", "lineages", "carriers")
 
 
-@query("l02_selection_p")
+_L02 = f"""{_L01}, p AS (SELECT *, {_LOG_P.format(n=8, k="lineages", fk="carriers", fn="n_tips")} AS log_p FROM path),
+lifetime AS (SELECT snp_id, coalesce(arg_max(log_p, epoch) FILTER (carriers >= 2), 1.0) AS log_p, coalesce(arg_max(log_p, epoch) FILTER (carriers >= 2 AND 2 * carriers >= n_tips), 1.0) AS log_p_half FROM p GROUP BY 1)
+SELECT snp_id, round(log_p, 6) + 0.0 AS log_p, round(log_p_half, 6) + 0.0 AS log_p_half FROM lifetime"""
+
+
+@query("l02_selection_p", sql(_L02, "muts", "clades", "branches", "epochs"))
 def l02(spark, d):
     return selection.over_lifetime(selection.p_values(paths_table(spark, d), N)).select("snp_id", r6("log_p").alias("log_p"), r6("log_p_half").alias("log_p_half"))
 
