@@ -25,10 +25,10 @@ def s03(spark, d):
     return read.samples(head.unionByName(rows)).groupBy("ploidy").agg(F.count("*").alias("n"))
 
 
-@query("s04_k05_haps_lines", sql("SELECT 'rs' || snp_id AS rsid, 1000 + 137 * snp_id AS pos, sum(allele)::BIGINT AS carriers FROM haps GROUP BY snp_id", "haps"))
+@query("s04_k05_haps_lines", sql("SELECT CAST(chrom AS VARCHAR) AS chrom, rsid, pos, anc, alt, gt FROM sites", "sites"))
 def s04(spark, d):
     lines = write.haps_lines(views.sites(spark, d)).select("value")
-    return read.haps(lines).select("rsid", "pos", alleles.carriers(F.col("gt")).cast("long").alias("carriers"))
+    return read.haps(lines).select(F.col("chrom").cast("string").alias("chrom"), "rsid", "pos", "anc", "alt", "gt")
 
 
 @query("s05_genetic_map", "SELECT p_partkey * 10 AS bp, round(p_retailprice, 2) AS cm FROM part")
@@ -45,14 +45,14 @@ def s08(spark, d):
     return parsed.select("tree_id", "node", "x.parent", "x.branch_length", F.col("x.num_events").cast("double").alias("num_events"), "x.snp_begin", "x.snp_end")
 
 
-@query("s12_k03_mutation_lines", sql("SELECT snp_id AS snp, pos, dist, tree_id, CASE WHEN n_branches = 2 THEN 2 ELSE 1 END AS n_branches, flipped FROM dists", "dists"))
+@query("s12_k03_mutation_lines", sql("SELECT snp_id AS snp, pos, dist, tree_id, CASE WHEN n_branches = 2 THEN branch || ' ' || branch ELSE branch || '' END AS branches, flipped, 'r' AS rsid, (snp_id % 9)::DOUBLE AS age_begin, (snp_id % 9 + 1.5)::DOUBLE AS age_end, anc || '/' || der AS mutation_type FROM dists", "dists"))
 def s12(spark, d):
     m = dists(spark, d).select(
-        F.col("snp_id").alias("snp"), "pos", "dist", F.lit("r").alias("rsid"), "tree_id", F.when(F.col("n_branches") == 2, F.array("branch", "branch")).otherwise(F.array("branch")).alias("branches"), "flipped", F.lit(0.0).alias("age_begin"), F.lit(1.0).alias("age_end"), F.concat_ws("/", "anc", "der").alias("mutation_type")
+        F.col("snp_id").alias("snp"), "pos", "dist", F.lit("r").alias("rsid"), "tree_id", F.when(F.col("n_branches") == 2, F.array("branch", "branch")).otherwise(F.array("branch")).alias("branches"), "flipped", (F.col("snp_id") % 9).cast("double").alias("age_begin"), (F.col("snp_id") % 9 + 1.5).cast("double").alias("age_end"), F.concat_ws("/", "anc", "der").alias("mutation_type")
     )
     head = spark.createDataFrame([(h,) for h in write.mut_header()], "value string").coalesce(1)
     got = read.mut(head.unionByName(write.mut_lines(m).select("value")))
-    return got.select(F.col("snp").cast("long").alias("snp"), "pos", "dist", "tree_id", F.size("branches").alias("n_branches"), "flipped")
+    return got.select(F.col("snp").cast("long").alias("snp"), "pos", "dist", "tree_id", F.array_join(F.col("branches").cast("array<string>"), " ").alias("branches"), "flipped", "rsid", "age_begin", "age_end", "mutation_type")
 
 
 @query("s16_vcf_scan", sql("SELECT snp_id, sum(allele)::BIGINT AS carriers FROM haps GROUP BY 1 HAVING sum(allele) BETWEEN 1 AND count(*) - 1", "haps"))
@@ -144,10 +144,11 @@ def g17(spark, d):
     return extract.unlinked(trees.exploded(views.trees(spark, d)), tips, views.muts(spark, d)).select(*TREE, "node", "parent", "branch_length", "num_events", "snp_begin", "snp_end")
 
 
-@query("g19_coalescence_times", sql("x AS (SELECT c.tree_id, c.node AS branch, list_sort(list(DISTINCT c.leaf)) AS leaves FROM clades c GROUP BY 1, 2) SELECT m.snp_id, CAST((SELECT count(*) FROM x y JOIN x z ON z.tree_id = m.tree_id AND z.branch = m.branch WHERE y.tree_id = m.tree_id AND y.branch >= 8 AND list_has_all(z.leaves, y.leaves)) AS INTEGER) AS n_derived FROM muts m", "clades", "muts"))
+@query("g19_coalescence_times", sql("b AS (SELECT p.tree_id, p.above AS branch, count(*) AS n, sum(h.height) AS t FROM paths p JOIN heights h ON h.tree_id = p.tree_id AND h.node = p.node WHERE p.node >= 8 GROUP BY 1, 2), a AS (SELECT tree_id, count(*) AS n, sum(height) AS t FROM heights WHERE node >= 8 GROUP BY 1) SELECT snp_id, CAST(coalesce(b.n, 0) AS INTEGER) AS n_derived, CAST(a.n - coalesce(b.n, 0) AS INTEGER) AS n_ancestral, coalesce(b.t, 0.0) AS derived, a.t - coalesce(b.t, 0.0) AS ancestral FROM muts m JOIN a USING (tree_id) LEFT JOIN b ON b.tree_id = m.tree_id AND b.branch = m.branch", "heights", "muts"))
 def g19(spark, d):
     out = extract.coalescence_times(views.trees(spark, d), views.muts(spark, d))
-    return out.select("snp_id", F.size("derived_times").alias("n_derived"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return out.select("snp_id", F.size("derived_times").alias("n_derived"), F.size("ancestral_times").alias("n_ancestral"), total("derived_times").alias("derived"), total("ancestral_times").alias("ancestral"))
 
 
 @query("m13_branch_summary", sql("r AS (SELECT chrom, pos, dist, CAST(row_number() OVER (PARTITION BY chrom ORDER BY pos, snp_id) - 1 AS INTEGER) AS snp FROM dists), s AS (SELECT *, sum(dist) OVER (PARTITION BY chrom ORDER BY snp) AS run FROM r) SELECT n.tree_id, n.node, CAST(b.run - a.run + a.dist AS BIGINT) AS bases FROM nodes n LEFT JOIN s a ON a.chrom = n.chrom AND a.snp = n.snp_begin LEFT JOIN s b ON b.chrom = n.chrom AND b.snp = n.snp_end", "nodes", "dists"))
@@ -171,9 +172,9 @@ def m16(spark, d):
     return trees.below(c, F.col("tree_id") == 3, 12).select("node")
 
 
-@query("v01_drawing", sql("SELECT tree_id, node, height AS y0 FROM heights h WHERE node < 14", "heights"))
+@query("v01_drawing", sql("SELECT tree_id, n.node, h.height AS y0, a.height AS y1 FROM nodes n JOIN heights h USING (tree_id, node) JOIN heights a ON a.tree_id = n.tree_id AND a.node = n.parent", "heights"))
 def v01(spark, d):
-    return trees.drawing(views.trees(spark, d)).where("kind = 'v'").select("tree_id", "node", "y0")
+    return trees.drawing(views.trees(spark, d)).where("kind = 'v'").select("tree_id", "node", "y0", "y1")
 
 
 @query("e01_trees_of_interest", sql(_newick_sql("''", "28") + ", m AS (SELECT * FROM muts WHERE chrom = 2) SELECT tree_id, (SELECT min(pos) FROM m WHERE m.tree_id = newick.tree_id) AS start, newick FROM newick WHERE tree_id % 5 = 2 AND tree_id BETWEEN (SELECT arg_min(tree_id, pos) FROM m WHERE pos >= 1000000) AND (SELECT arg_min(tree_id, pos) FROM m WHERE pos >= 35000000)", "nodes", "muts"))
@@ -367,10 +368,10 @@ def tk13(spark, d):
     return tables.linkage(views.haps(spark, d), 4).select("a", "b", r6("r2").alias("r2"))
 
 
-@query("tk14_genotypes", sql("SELECT m.snp_id, count(*) AS carriers FROM muts m JOIN clades c ON c.tree_id = m.tree_id AND c.node = m.branch GROUP BY 1", "muts", "clades"))
+@query("tk14_genotypes", sql("g AS (SELECT t.tree_id, t.node, string_agg(CASE WHEN c.leaf IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS gt FROM (SELECT DISTINCT tree_id, node FROM clades) t CROSS JOIN range(8) r(i) LEFT JOIN clades c ON c.tree_id = t.tree_id AND c.node = t.node AND c.leaf = i GROUP BY 1, 2) SELECT snp_id, gt FROM muts m JOIN g ON g.tree_id = m.tree_id AND g.node = m.branch", "muts", "clades"))
 def tk14(spark, d):
     g = tables.genotypes_from_trees(views.muts(spark, d), trees.clade_rows(views.trees(spark, d)), views.TIPS)
-    return g.select("snp_id", alleles.carriers(F.col("gt")).cast("long").alias("carriers"))
+    return g.select("snp_id", "gt")
 
 
 @query("tk15_vcf_lines", sql("SELECT concat_ws(chr(9), chrom, pos, rsid, anc, alt, '.', 'PASS', '.', 'GT', array_to_string(list_transform(range(0, length(gt) // 2), lambda i: substr(gt, 2 * i + 1, 1) || '|' || substr(gt, 2 * i + 2, 1)), chr(9))) AS value FROM sites", "sites"))
