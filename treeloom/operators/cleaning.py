@@ -146,3 +146,9 @@ def genotypes(lines: DataFrame, value: str = "value", polymorphic: bool = True)
     )
     rows = single_bases(rows).where(F.col("gt").rlike("^[01]+$"))
     return segregating(rows) if polymorphic else rows
+
+
+def group_names(groups: DataFrame) -> DataFrame:
+    """(grp, number): the distinct names in order, numbered from 0. Groups are a short list."""
+    names = groups.select("grp").where("grp is not null").distinct()
+    return names.withColumn("number", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("grp")) - 1).cast("int"))

@@ -111,6 +111,25 @@ def group_lineages(heights: DataFrame, clades: DataFrame, haps: list[int], exclu
     return steps.groupBy(*keys, "age").agg(F.sum("d").alias("d")).select(*keys, "age", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("lineages"))
 
 
+def group_time(lineages: DataFrame, epochs: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
+    """(keys, epoch, time): lineages of a group x time in each epoch. lineages(keys, age, lineages) as group_lineages has them."""
+    w = Window.partitionBy(*keys).orderBy("age")
+    rows = lineages.select(*keys, F.col("age").alias("age_begin"), F.lead("age").over(w).alias("age_end"), "lineages").where("age_end is not null and lineages > 0")
+    return with_epochs(rows, epochs).groupBy(*keys, "epoch").agg(F.sum(F.col("shared") * F.col("lineages")).alias("time"))
+
+
+def category_blocks(muts: DataFrame, bases: DataFrame, time: DataFrame, blocks: DataFrame, epochs: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
+    """(block, category, epoch, num, denom): mutations and opportunities of each block of trees, partial sums that add up.
+
+    muts carry a category; bases(keys, category, n); time(keys, epoch, time) of all lineages or of a group's; blocks(keys,
+    block). Trees are summed to blocks before categories meet, so a block costs categories x epochs rows.
+    """
+    mut = fractions(mapped(muts).join(blocks.select(*keys, "block"), keys), epochs, ["block", "category"])
+    opp = time.join(bases, keys).join(blocks.select(*keys, "block"), keys).groupBy("block", "category", "epoch").agg(F.sum(F.col("time") * F.col("n")).alias("opp"))
+    both = mut.join(opp, ["block", "category", "epoch"], "full_outer")
+    return both.select("block", "category", "epoch", F.coalesce("mut", F.lit(0.0)).alias("num"), F.coalesce("opp", F.lit(0.0)).alias("denom"))
+
+
 def tip_density(muts: DataFrame, path: DataFrame, epochs: DataFrame, spans: DataFrame, keys: list[str] = ["tree_id"]) -> DataFrame:  # noqa: B006
     """(keys, epoch, mut, opp) along the path from one tip to the root. path(keys, node, age_begin, age_end)."""
     on = muts.join(path.select(*keys, F.col("node").alias("branch")), [*keys, "branch"], "left_semi")

@@ -155,6 +155,16 @@ def tree_events(heights: DataFrame, epochs: DataFrame, spans: DataFrame, block:
     return both.select("chrom", "block", "epoch", F.coalesce("num", F.lit(0.0)).alias("num"), F.coalesce("denom", F.lit(0.0)).alias("denom"))
 
 
+def genome_blocks(spans: DataFrame, block: int = 1000) -> DataFrame:
+    """spans(chrom, tree_id, ...) with block: runs of `block` trees of a chromosome, numbered on from chromosome to chromosome."""
+    w = Window.partitionBy("chrom").orderBy("tree_id")
+    rows = spans.withColumn("__own", F.floor((F.row_number().over(w) - 1) / block))
+    sizes = rows.groupBy("chrom").agg((F.max("__own") + 1).alias("__n"))
+    # a row for each chromosome
+    before = sizes.select("chrom", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.join(before, "chrom").withColumn("block", (F.col("__own") + F.col("__before")).cast("int")).drop("__own", "__before")
+
+
 def bootstrap_weights(blocks: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """(replicate, block, weight): how often each block is drawn when as many as there are are drawn with replacement.
 

@@ -307,6 +307,16 @@ def pair_times(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> Data
     return map_trees(trees, kernel, "i int, j int, tmrca double", keys)
 
 
+def merged_tips(a: Column, b: Column) -> Column:
+    """Two sorted lists of tips as one."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def clade_sizes(heights: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
+    """(keys, n_tips, branches): the sorted branches of each size, among which one that carries so many is looked for."""
+    return heights.groupBy(*keys, "n_tips").agg(F.sort_array(F.collect_list("node")).alias("branches"))
+
+
 def drawing(trees: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
     return map_trees(trees, lambda t, row: t.segments(), "node int, kind string, x0 double, y0 double, x1 double, y1 double", keys)
 

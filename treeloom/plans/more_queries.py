@@ -9,7 +9,7 @@ from treeloom.operators import cleaning, extract, intervals, mutation, rates, ta
 from treeloom.plans import inference, views
 from treeloom.plans.queries import _CONTEXT, _L02, BY, aged, branches, dists, grid, groups, heights, pair_table, query, r6, spans, tree_table
 from treeloom.plans.views import sql
-from treeloom.sources import read, write
+from treeloom.sources import binary, read, write
 from treeloom.streaming import events as streams
 
 TREE = ["chrom", "tree_id"]
@@ -425,12 +425,92 @@ def j12b(spark, d):
     return branches(spark, d).groupBy("tree_id").agg(r6(F.sum(F.col("age_end") - F.col("age_begin"))).alias("time"))
 
 
-@query("c09_genome_blocks", sql("SELECT chrom, tree_id, CAST((row_number() OVER (PARTITION BY chrom ORDER BY tree_id) - 1) // 2 AS INTEGER) AS block FROM spans", "spans"))
+@query("c09_genome_blocks", sql("b AS (SELECT chrom, tree_id, (row_number() OVER (PARTITION BY chrom ORDER BY tree_id) - 1) // 2 AS own FROM spans), n AS (SELECT chrom, max(own) + 1 AS n FROM b GROUP BY 1) SELECT b.chrom, tree_id, CAST(own + coalesce((SELECT sum(n) FROM n WHERE n.chrom < b.chrom), 0) AS INTEGER) AS block FROM b", "spans"))
 def c09(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("tree_id")
-    return spans(spark, d).select("chrom", "tree_id", F.floor((F.row_number().over(w) - 1) / 2).cast("int").alias("block"))
+    return rates.genome_blocks(spans(spark, d), 2).select("chrom", "tree_id", "block")
+
+
+_GROUP_RATES = """g AS (SELECT tree_id, node, count(*) AS n, bool_or(leaf IN (0, 1, 2, 3)) AS has_some, bool_or(leaf NOT IN (4, 5)) AS has_more FROM clades GROUP BY 1, 2), b AS (SELECT br.* FROM branches br JOIN g USING (tree_id, node) WHERE n > 1 AND has_some AND has_more),
+d AS (SELECT tree_id, age, sum(d) AS d FROM (SELECT tree_id, age_begin AS age, 1 AS d FROM b UNION ALL SELECT tree_id, age_end, -1 FROM b) GROUP BY 1, 2),
+l AS (SELECT tree_id, age AS age_begin, lead(age) OVER w AS age_end, sum(d) OVER w AS k FROM d WINDOW w AS (PARTITION BY tree_id ORDER BY age)),
+opp AS (SELECT epoch, category, sum((least(hi, age_end) - greatest(lo, age_begin)) * k * (category + 1) * 10) AS denom FROM l JOIN epochs ON lo < age_end AND hi > age_begin, range(2) r(category) WHERE k > 0 GROUP BY 1, 2),
+mut AS (SELECT epoch, CASE WHEN anc IN ('C', 'G') THEN 0 ELSE 1 END AS category, sum((least(hi, age_end) - greatest(lo, age_begin)) / (age_end - age_begin)) AS num FROM ages a JOIN epochs ON lo < age_end AND hi > age_begin
+  WHERE n_branches = 1 AND age_end > age_begin AND anc <> der AND (SELECT count(*) > 1 AND bool_or(leaf IN (0, 1, 2, 3)) FROM clades c WHERE c.tree_id = a.tree_id AND c.node = a.branch) GROUP BY 1, 2)
+SELECT CAST(category AS INTEGER) AS category, epoch, round(coalesce(num, 0), 6) AS num, round(coalesce(denom, 0), 6) AS denom, round(coalesce(num, 0) / nullif(denom, 0), 6) AS rate FROM opp FULL JOIN mut USING (category, epoch)"""
+
+
+def _group_blocks(spark, d):
+    """Mutations that segregate in a group, in two categories, over the group's time."""
+    rows = [(u, v, a, e, 0 if a in "CG" else 1) for u in "ACGT" for v in "ACGT" for a in "CA" for e in "ACGT" if a != e]
+    table = spark.createDataFrame(rows, "up string, down string, anc string, der string, category int")
+    clades = trees.clade_rows(views.trees(spark, d))
+    m = mutation.categorised(mutation.segregating_in(aged(spark, d), clades, [0, 1, 2, 3]), table)
+    time = mutation.group_time(mutation.group_lineages(heights(spark, d), clades, [0, 1, 2, 3], [4, 5]), grid(spark))
+    bases = views.trees(spark, d).select(*TREE, F.explode(F.array(F.lit(0), F.lit(1))).alias("category")).withColumn("n", (F.col("category") + 1) * 10.0)
+    return mutation.category_blocks(m, bases, time, rates.genome_blocks(spans(spark, d), 2), grid(spark))
+
+
+@query("r06_r07_group_rates", sql(_GROUP_RATES, "clades", "branches", "ages", "epochs"))
+def r06b(spark, d):
+    """The replicate that takes every block once."""
+    e = _group_blocks(spark, d)
+    out = rates.bootstrap_rates(e, rates.bootstrap_weights(e.select("block").distinct(), 5), ["category", "epoch"]).where("replicate = 0")
+    return out.select("category", "epoch", r6("num").alias("num"), r6("denom").alias("denom"), r6("rate").alias("rate"))
+
+
+@query("a10_bootstrap_totals", sql("n AS (SELECT CAST(sum((n + 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM spans GROUP BY chrom)) SELECT CAST(r AS INTEGER) AS replicate, n.n AS drawn FROM n, range(5) t(r)", "spans"))
+def a10(spark, d):
+    """As many blocks are drawn in each replicate as there are."""
+    blocks = rates.genome_blocks(spans(spark, d), 2).select("block").distinct()
+    return rates.bootstrap_weights(blocks, 5).groupBy("replicate").agg(F.sum("weight").alias("drawn"))
+
+
+# ---- binary and short formats, lists of tips and groups ----
+@query("s11_k02_tree_binary", sql("SELECT chrom, tree_id, node, parent, branch_length, num_events, snp_begin, snp_end FROM nodes", "nodes"))
+def s11(spark, d):
+    """Records of a chromosome after its head, read again."""
+    records = binary.tree_records(views.trees(spark, d))
+    files = records.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("tree_id", "value"))).alias("x"))
+    head = F.lit(bytearray(binary.tree_head(views.TIPS, 5)))  # five trees a chromosome
+    content = F.aggregate(F.transform("x", lambda r: r["value"]), head, lambda a, v: F.concat(a, v))
+    got = binary.trees(files.select(F.col("chrom").cast("string").alias("path"), content.alias("content")))
+    own = got.select(F.col("path").cast("int").alias("chrom"), (F.col("tree_id") * 5 + F.col("path").cast("int")).alias("tree_id"), F.posexplode("nodes").alias("node", "x"))
+    return own.select(*TREE, "node", "x.parent", "x.branch_length", F.col("x.num_events").cast("double").alias("num_events"), "x.snp_begin", "x.snp_end")
+
+
+@query("s34_haplotype_matrix", sql("SELECT snp_id::BIGINT AS row, gt FROM sites", "sites"))
+def s34(spark, d):
+    rows = binary.haplotypes(views.sites(spark, d))
+    head = F.lit(bytearray(binary.matrix_head(64, views.table(spark, d, "embeddings").count())))
+    whole = rows.agg(F.sort_array(F.collect_list(F.struct("snp_id", "value"))).alias("x"))
+    content = F.aggregate(F.transform("x", lambda r: r["value"]), head, lambda a, v: F.concat(a, v))
+    got = binary.matrices(whole.select(F.lit("m").alias("path"), content.alias("content")), "char")
+    return got.select("row", F.array_join(F.transform("values", lambda v: F.char(v.cast("long"))), "").alias("gt"))
+
+
+@query("s13_k04_short_mutations", sql("r AS (SELECT *, CAST(row_number() OVER (ORDER BY snp_id) - 1 AS INTEGER) AS snp FROM muts) SELECT snp, tree_id, branch, n_branches = 2 AS unmapped, flipped, (branch + 0.5)::DOUBLE AS age_begin, (branch + 2)::DOUBLE AS age_end FROM r", "muts"))
+def s13(spark, d):
+    m = views.muts(spark, d).select(F.col("snp_id").alias("snp"), "tree_id", F.when(F.col("n_branches") == 2, F.array("branch", "branch")).otherwise(F.array("branch")).alias("branches"), "flipped", (F.col("branch") + 0.5).alias("age_begin"), (F.col("branch") + 2.0).alias("age_end"))
+    lines = write.mut_short_lines(m).repartitionByRange(1, "snp").sortWithinPartitions("snp").select("value")
+    head = spark.createDataFrame([(write.MUT_SHORT_HEADER,)], "value string").coalesce(1)
+    return read.mut_short(head.unionByName(lines)).select("snp", "tree_id", F.col("branches")[0].alias("branch"), "unmapped", "flipped", "age_begin", "age_end")
+
+
+@query("t09_group_names", sql("SELECT grp, CAST(row_number() OVER (ORDER BY grp) - 1 AS INTEGER) AS number FROM (SELECT DISTINCT grp FROM grp_of)", "grp_of"))
+def t09(spark, d):
+    return cleaning.group_names(groups(spark))
+
+
+@query("u06_merged_tips", sql("SELECT tree_id, parent AS node, string_agg(leaf, ',' ORDER BY leaf) AS tips FROM clades JOIN nodes USING (tree_id, node) WHERE parent >= 0 GROUP BY 1, 2", "clades"))
+def u06(spark, d):
+    c = trees.clade_rows(views.trees(spark, d)).join(trees.exploded(views.trees(spark, d)).select(*TREE, "node", "parent"), [*TREE, "node"]).where("parent >= 0")
+    both = c.groupBy(*TREE, "parent").agg(F.min_by("tips", "node").alias("a"), F.max_by("tips", "node").alias("b"))
+    return both.select("tree_id", F.col("parent").alias("node"), F.array_join(trees.merged_tips(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("tips"))
+
+
+@query("m09_clade_sizes", sql("s AS (SELECT tree_id, node, count(*) AS n FROM clades GROUP BY 1, 2) SELECT tree_id, CAST(n AS INTEGER) AS n_tips, string_agg(node, ',' ORDER BY node) AS branches FROM s GROUP BY 1, 2", "clades"))
+def m09(spark, d):
+    return trees.clade_sizes(heights(spark, d)).select("tree_id", "n_tips", F.array_join(F.col("branches").cast("array<string>"), ",").alias("branches"))
 
 
 @query("w12_restricted_lineages", sql("g AS (SELECT tree_id, node, count(*) AS n, bool_or(leaf IN (1, 3, 5)) AS has_some, bool_or(leaf NOT IN (-1)) AS has_more FROM clades GROUP BY 1, 2), b AS (SELECT br.* FROM branches br JOIN g USING (tree_id, node) WHERE n > 1 AND has_some AND has_more), d AS (SELECT chrom, tree_id, age, sum(d) AS d FROM (SELECT chrom, tree_id, age_begin AS age, 1 AS d FROM b UNION ALL SELECT chrom, tree_id, age_end, -1 FROM b) GROUP BY 1, 2, 3) SELECT chrom, tree_id, age, CAST(sum(d) OVER (PARTITION BY tree_id ORDER BY age) AS BIGINT) AS lineages FROM d", "clades", "branches"))

@@ -141,6 +141,21 @@ def mut(lines: DataFrame) -> DataFrame:
     )
 
 
+def mut_short(lines: DataFrame) -> DataFrame:
+    """tree_id, branches, unmapped, flipped, ages of the short format; sites have the numbers of their lines, from 0."""
+    f = F.split("value", ";")
+    rows = _after_header(lines, 1).where(F.length(F.trim("value")) > 0)
+    return rows.select(
+        (F.col("line") - 1).cast("int").alias("snp"),
+        f[0].cast("int").alias("tree_id"),
+        F.transform(F.filter(F.split(F.trim(f[1]), " +"), lambda x: F.length(x) > 0), lambda x: x.cast("int")).alias("branches"),
+        (f[2] == "1").alias("unmapped"),
+        (f[3] == "1").alias("flipped"),
+        f[4].cast("double").alias("age_begin"),
+        f[5].cast("double").alias("age_end"),
+    )
+
+
 def dist(lines: DataFrame) -> DataFrame:
     f = _fields()
     return lines.where(~F.startswith(F.trim(F.col("value")), F.lit("#"))).select(f[0].cast("long").alias("pos"), f[1].cast("long").alias("dist"))

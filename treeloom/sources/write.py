@@ -70,6 +70,18 @@ def mut_header(populations: list[str] | None = None) -> list[str]:
     return [MUT_HEADER + ("upstream_allele;downstream_allele;" + "".join(f"{p};" for p in populations) if populations else "")]
 
 
+#: Fixed value: the header of the short format, whose last name stands for two columns.
+MUT_SHORT_HEADER = "tree_index;branch_index;is_mapping;is_flipped;age_of_mutation"
+
+
+def mut_short_lines(muts: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Six fields of each mutation, of the sites first to last of a section if given; ages with six digits."""
+    rows = muts if first is None else muts.where(F.col("snp").between(first, last))
+    age = lambda c: F.format_string("%s", F.round(F.col(c).cast("double"), 6))
+    fields = [F.col("tree_id").cast("string"), F.array_join("branches", " "), (F.size("branches") > 1).cast("int").cast("string"), F.col("flipped").cast("int").cast("string"), age("age_begin"), age("age_end")]
+    return rows.select("snp", F.concat(F.concat_ws(";", *fields), F.lit(";")).alias("value"))
+
+
 def coal_lines(rates: DataFrame, groups: list[str], bounds: list[float]) -> tuple[DataFrame, list[str]]:
     """One line for each pair of groups, by number; null rates are nan."""
     number = {g: i for i, g in enumerate(groups)}
