@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.operators import trees
+from treeloom.operators.intervals import as_of
 
 
 def region(muts: DataFrame, first: int, last: int, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
@@ -132,6 +133,41 @@ def coalescence_times(trees_: DataFrame, muts: DataFrame, keys: list[str] = ["ch
     return muts.join(trees.map_trees(trees_, kernel, "branch int, ancestral_times array<double>, derived_times array<double>", keys), [*keys, "branch"])
 
 
+def site_times(trees_: DataFrame, sites: DataFrame, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
+    """(by, pos, anc, der, daf, n, ancestral_times, derived_times) of sites that sampled trees map exactly.
+
+    trees_(by, start, sample, nodes): trees that hold from start on, in samples 0, 1, ...; sites(by, pos, anc, der, gt). Each
+    site goes to the last start at or before it. The derived times are those of the coalescences below the branch that
+    has all carriers and no one else, sorted in each sample, samples one after the other; the others are ancestral. Sites
+    that a sample doesn't map have no row, nor have those before the first tree.
+    """
+    starts = trees_.select(*by, "start").distinct()
+    placed = as_of(sites.select(*by, "pos", "anc", "der", "gt"), starts, by, "pos", "start", []).where("at is not null").withColumnRenamed("at", "start")
+    own = placed.groupBy(*by, "start").agg(F.collect_list(F.struct("pos", "anc", "der", "gt")).alias("__sites"))
+
+    def kernel(t: trees.Tree, row: dict) -> pd.DataFrame:
+        first, last, _ = t.stretches()
+        inner = np.arange(t.n, t.size)
+        inner = inner[np.argsort(t.heights()[inner], kind="stable")]
+        h = t.heights()[inner]
+        branch = {c: v for v, c in enumerate(t.clades())}
+        out = []
+        for s in row["__sites"]:
+            carriers = [i for i, c in enumerate(s["gt"]) if c == "1"]
+            v = branch.get(sum(1 << i for i in carriers))
+            if v is not None and len(s["gt"]) == t.n:
+                inside = (first[inner] >= first[v]) & (last[inner] <= last[v])
+                out.append((s["pos"], s["anc"], s["der"], len(carriers), t.n, h[~inside].tolist(), h[inside].tolist()))
+        return pd.DataFrame(out, columns=["pos", "anc", "der", "daf", "n", "ancestral", "derived"])
+
+    keys = [*by, "start", "sample"]
+    times = trees.map_trees(trees_.join(own, [*by, "start"]), kernel, "pos long, anc string, der string, daf int, n int, ancestral array<double>, derived array<double>", keys)
+    samples = trees_.groupBy(*by, "start").agg(F.count("*").alias("__k"))
+    listed = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("sample", c))), lambda x: x[c]))
+    rows = times.groupBy(*by, "start", "pos", "anc", "der", "daf", "n").agg(F.count("*").alias("__seen"), listed("ancestral").alias("ancestral_times"), listed("derived").alias("derived_times"))
+    return rows.join(samples, [*by, "start"]).where("__seen = __k").drop("__seen", "__k", "start")
+
+
 def propagated(muts: DataFrame, chains: DataFrame, keys: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
     """(chrom, tree_id, node, snp_id): every mutation on all branches of its branch's chain. chains(chrom, tree_id, node, chain)."""
     own = muts.join(chains.withColumnRenamed("node", "branch"), [*keys, "tree_id", "branch"]).select(*keys, "chain", "snp_id")

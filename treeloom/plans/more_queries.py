@@ -182,12 +182,38 @@ def e01(spark, d):
     return extract.tree_at(views.trees(spark, d), views.muts(spark, d), 2, 1_000_000, 35_000_000).select("tree_id", "start", "newick")
 
 
-@query("e02_subpopulation")
+@query("e04_site_times", sql("""c8 AS (SELECT snp_id, string_agg(hap, ',' ORDER BY hap) AS c, count(*) AS daf FROM haps WHERE hap < 8 AND allele = 1 GROUP BY 1),
+cl AS (SELECT tree_id, node, string_agg(leaf, ',' ORDER BY leaf) AS c FROM clades GROUP BY 1, 2), s AS (SELECT snp_id, 1000 + 137 * snp_id AS pos, c, daf, least(4, (1000 + 137 * snp_id) // 2000) * 5 + 1 AS tree_id FROM c8),
+b AS (SELECT p.tree_id, p.above AS node, count(*) AS n, sum(h.height) AS t FROM paths p JOIN heights h ON h.tree_id = p.tree_id AND h.node = p.node WHERE p.node >= 8 GROUP BY 1, 2), a AS (SELECT tree_id, sum(height) AS t FROM heights WHERE node >= 8 GROUP BY 1)
+SELECT pos::BIGINT AS pos, CAST(daf AS INTEGER) AS daf, CAST(2 * coalesce(n, 0) AS INTEGER) AS n_derived, CAST(14 - 2 * coalesce(n, 0) AS INTEGER) AS n_ancestral, 3 * coalesce(b.t, 0.0) AS derived, 3 * (a.t - coalesce(b.t, 0.0)) AS ancestral
+FROM s JOIN cl USING (tree_id, c) JOIN a USING (tree_id) LEFT JOIN b USING (tree_id, node)""", "haps", "clades", "heights"))
+def e04(spark, d):
+    """Two samples of the trees of a chromosome, the second twice as high, as newick lines, against sites of eight haplotypes."""
+    t = views.trees(spark, d).where("chrom = 1").withColumn("sample", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice = F.transform("nodes", lambda x: x.withField("branch_length", x["branch_length"] * (F.col("sample") + 1)))
+    text = trees.newicks(t.withColumn("nodes", twice), keys=[*TREE, "sample"])
+    rows = text.select(F.col("chrom").cast("string").alias("chrom"), (F.floor(F.col("tree_id") / 5) * 2000).alias("start"), (F.floor(F.col("tree_id") / 5) * 2000 + 2000).alias("end"), "sample", "newick")
+    lines, head = write.newick_lines(rows)
+    got = read.newick_intervals(spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(lines.select("value")))
+    s = views.sites(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "pos", "anc", F.col("alt").alias("der"), F.substring("gt", 1, views.TIPS).alias("gt"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return extract.site_times(got, s).select("pos", "daf", F.size("derived_times").alias("n_derived"), F.size("ancestral_times").alias("n_ancestral"), total("derived_times").alias("derived"), total("ancestral_times").alias("ancestral"))
+
+
+#: The trees of the view for tips 0, 2, 5 and 7, which the view's other tips leave; what a mutation's branch has of them.
+_E02 = """k AS (SELECT tree_id, node, string_agg(leaf, ',' ORDER BY leaf) AS c, count(*) AS n FROM clades WHERE leaf IN (0, 2, 5, 7) GROUP BY 1, 2),
+top AS (SELECT k.tree_id, k.c, max(coalesce(a.height, h.height)) AS age_end FROM k JOIN heights h USING (tree_id, node) JOIN nodes o USING (tree_id, node) LEFT JOIN heights a ON a.tree_id = k.tree_id AND a.node = o.parent WHERE k.n < 4 GROUP BY 1, 2)
+SELECT m.tree_id, k.c AS tips, count(*) AS n, max(CASE WHEN k.n = 4 THEN (SELECT min(h.height) FROM k q JOIN heights h USING (tree_id, node) WHERE q.tree_id = m.tree_id AND q.n = 4) ELSE t.age_end END) AS age_end
+FROM muts m JOIN k ON k.tree_id = m.tree_id AND k.node = m.branch LEFT JOIN top t ON t.tree_id = k.tree_id AND t.c = k.c GROUP BY 1, 2"""
+
+
+@query("e02_subpopulation", sql(_E02, "clades", "heights", "muts"))
 def e02(spark, d):
     t = views.trees(spark, d)
     sub = extract.subpopulation(t, [0, 2, 5, 7])
     m = trees.mutation_ages(extract.moved_branches(views.muts(spark, d), t, [0, 2, 5, 7]), trees.with_heights(sub).select("tree_id", "node", "parent", "height"))
-    return m.groupBy("tree_id", "branch").agg(F.count("*").alias("n"), F.max("age_end").alias("age_end"))
+    own = trees.clade_rows(sub).select("tree_id", F.col("node").alias("branch"), F.array_join(F.transform("tips", lambda i: F.get(F.array(*map(F.lit, [0, 2, 5, 7])), i).cast("string")), ",").alias("tips"))
+    return m.groupBy("tree_id", "branch").agg(F.count("*").alias("n"), F.max("age_end").alias("age_end")).join(own, ["tree_id", "branch"]).select("tree_id", "tips", "n", "age_end")
 
 
 @query("u02_u04_split_and_combine", sql("SELECT tree_id, CAST(dense_rank() OVER (PARTITION BY chrom ORDER BY tree_id) - 1 AS INTEGER) AS new_id, node FROM nodes", "nodes"))
