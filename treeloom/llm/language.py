@@ -256,8 +256,10 @@ def held_out(id: str = "doc_id"):
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """docs whose language is found; those without any letter go."""
+    """docs whose language is found; those without any letter go. Where no row has a label to learn from, all others stay."""
     model = learn(docs.where(~held_out()))
+    if not model["languages"]:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
