@@ -142,11 +142,12 @@ def _found(span: Column, t: Tables, v: Vocabulary) -> Column:
     def at(place: Column, other: Column | None) -> Column:
         def looked(e: Column) -> Column:
             same = F.when(F.shiftrightunsigned(e.bitwiseXOR(h), _SPLIT) == 0, F.get(t["pieces"], F.shiftright(e.bitwiseAND(low), _ID).cast("int")) == span).otherwise(F.lit(False))
-            found = F.when(e == 0, F.lit(None).cast("long")).when(same, e.bitwiseAND(low))
+            found = F.when(same, e.bitwiseAND(low))
             # a token is at its second place only if its first is taken
             return found if other is None else found.otherwise(other)
 
-        return let(F.get(t["spans"], place.bitwiseAND(mask).cast("int")), looked)
+        entry = F.get(t["spans"], place.bitwiseAND(mask).cast("int"))
+        return F.when(entry != 0, let(entry, looked))
 
     return at(h, at(F.shiftright(h, 20), None))
 
@@ -206,7 +207,7 @@ def _folded_as_bits(data: Column, t: Tables, v: Vocabulary) -> Column:
             def one(m: Column) -> Column:
                 return token(data, i, m).bitwiseOR((i * 4096 + m * 64).cast("long"))
 
-            return F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(reach, n - i))), one), lambda x: x.isNotNull())
+            return let(reach, lambda r: F.filter(F.transform(F.sequence(F.lit(2), F.when(r < n - i, r).otherwise(n - i)), one), lambda x: x.isNotNull()))
 
         def step(b: Column, x: Column) -> Column:
             shape, at = x.bitwiseAND(4095).cast("int"), F.shiftright(x, 12).bitwiseAND(63).cast("int")
@@ -221,7 +222,7 @@ def _folded_as_bits(data: Column, t: Tables, v: Vocabulary) -> Column:
             return F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", b, i).bitwiseAND(1) == 1), id_)
 
         every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-        found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), merges)))
+        found = F.when(n > 1, F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), merges)))).otherwise(F.array().cast("array<bigint>"))
         return F.aggregate(found, every, step, spans)
 
     return let(data, run)
