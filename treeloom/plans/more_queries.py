@@ -182,11 +182,11 @@ def e01(spark, d):
     return extract.tree_at(views.trees(spark, d), views.muts(spark, d), 2, 1_000_000, 35_000_000).select("tree_id", "start", "newick")
 
 
-@query("e04_site_times", sql("""c8 AS (SELECT snp_id, string_agg(hap, ',' ORDER BY hap) AS c, count(*) AS daf FROM haps WHERE hap < 8 AND allele = 1 GROUP BY 1),
+@query("e04_site_times", sql("""c8 AS (SELECT snp_id, string_agg(hap, ',' ORDER BY hap) AS c, count(*) AS daf FROM consensus8 WHERE allele = 1 GROUP BY 1),
 cl AS (SELECT tree_id, node, string_agg(leaf, ',' ORDER BY leaf) AS c FROM clades GROUP BY 1, 2), s AS (SELECT snp_id, 1000 + 137 * snp_id AS pos, c, daf, least(4, (1000 + 137 * snp_id) // 2000) * 5 + 1 AS tree_id FROM c8),
 b AS (SELECT p.tree_id, p.above AS node, count(*) AS n, sum(h.height) AS t FROM paths p JOIN heights h ON h.tree_id = p.tree_id AND h.node = p.node WHERE p.node >= 8 GROUP BY 1, 2), a AS (SELECT tree_id, sum(height) AS t FROM heights WHERE node >= 8 GROUP BY 1)
 SELECT pos::BIGINT AS pos, CAST(daf AS INTEGER) AS daf, CAST(2 * coalesce(n, 0) AS INTEGER) AS n_derived, CAST(14 - 2 * coalesce(n, 0) AS INTEGER) AS n_ancestral, 3 * coalesce(b.t, 0.0) AS derived, 3 * (a.t - coalesce(b.t, 0.0)) AS ancestral
-FROM s JOIN cl USING (tree_id, c) JOIN a USING (tree_id) LEFT JOIN b USING (tree_id, node)""", "haps", "clades", "heights"))
+FROM s JOIN cl USING (tree_id, c) JOIN a USING (tree_id) LEFT JOIN b USING (tree_id, node)""", "consensus8", "clades", "heights"))
 def e04(spark, d):
     """Two samples of the trees of a chromosome, the second twice as high, as newick lines, against sites of eight haplotypes."""
     t = views.trees(spark, d).where("chrom = 1").withColumn("sample", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -195,7 +195,7 @@ def e04(spark, d):
     rows = text.select(F.col("chrom").cast("string").alias("chrom"), (F.floor(F.col("tree_id") / 5) * 2000).alias("start"), (F.floor(F.col("tree_id") / 5) * 2000 + 2000).alias("end"), "sample", "newick")
     lines, head = write.newick_lines(rows)
     got = read.newick_intervals(spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(lines.select("value")))
-    s = views.sites(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "pos", "anc", F.col("alt").alias("der"), F.substring("gt", 1, views.TIPS).alias("gt"))
+    s = views.consensus(spark, d, views.TIPS).select(F.col("chrom").cast("string").alias("chrom"), "pos", "anc", F.col("alt").alias("der"), "gt")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return extract.site_times(got, s).select("pos", "daf", F.size("derived_times").alias("n_derived"), F.size("ancestral_times").alias("n_ancestral"), total("derived_times").alias("derived"), total("ancestral_times").alias("ancestral"))
 
@@ -237,9 +237,9 @@ def a22(spark, d):
     return mutation.mean_rate(out).select("epoch", r6("rate").alias("rate"))
 
 
-# ---- kernels on the sign haplotypes of the embeddings: all vectors ----
+# ---- kernels on haplotypes that all embeddings make together; the kernels' time grows with the cube of their number ----
 def _sites(spark, d):
-    return cleaning.segregating(views.sites(spark, d).select("chrom", "snp_id", "pos", "rsid", "anc", "alt", "gt"))
+    return cleaning.segregating(views.consensus(spark, d, 10))
 
 
 def _chunks(spark, d):
@@ -267,8 +267,7 @@ def o07(spark, d):
 @query("m01_m07_map_sites")
 def m01(spark, d):
     t = views.trees(spark, d)
-    # the tips of the view's trees are its first haplotypes, views.TIPS of them; the trees have no others
-    s = cleaning.segregating(views.sites(spark, d).withColumn("gt", F.substring("gt", 1, views.TIPS))).select("snp_id", "gt", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("tree_id"))
+    s = cleaning.segregating(views.consensus(spark, d, views.TIPS)).select("snp_id", "gt", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("tree_id"))
     return inference.map_sites(t, s.join(t.select("chrom", "tree_id"), "tree_id"))
 
 

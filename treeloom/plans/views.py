@@ -62,6 +62,13 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(1).alias("chrom"), s, (1000 + 137 * s).cast("long").alias("pos"), F.concat(F.lit("rs"), s.cast("string")).alias("rsid"), base(s).alias("anc"), base(s + 1 + s % 3).alias("alt"), "gt")
 
 
+def consensus(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """sites of k haplotypes made from all vectors: haplotype h has at each site what most of those with vec_id mod k = h have."""
+    rows = haps(spark, sf_dir).groupBy("snp_id", (F.col("hap") % k).alias("hap")).agg((2 * F.sum("allele") > F.count("*")).cast("int").alias("allele"))
+    rows = rows.groupBy("snp_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"].cast("string")), "").alias("gt"))
+    return sites(spark, sf_dir).drop("gt").join(rows, "snp_id").select("chrom", "snp_id", "pos", "rsid", "anc", "alt", "gt")
+
+
 def genmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, bp, cm: a rising map, one for each part brand, from running sums of retail prices."""
     from pyspark.sql import Window
@@ -102,12 +109,13 @@ SQL = {
     "haps": "haps AS (SELECT CAST(d - 1 AS INTEGER) AS snp_id, vec_id AS hap, label AS grp, CASE WHEN embedding[d] > 0 THEN 1 ELSE 0 END AS allele FROM embeddings, range(1, 65) r(d))",
     "sites": """sites AS (SELECT 1 AS chrom, snp_id, CAST(1000 + 137 * snp_id AS BIGINT) AS pos, 'rs' || snp_id AS rsid, substr('ACGT', snp_id % 4 + 1, 1) AS anc,
   substr('ACGT', (snp_id + 1 + snp_id % 3) % 4 + 1, 1) AS alt, string_agg(allele::VARCHAR, '' ORDER BY hap) AS gt FROM haps GROUP BY snp_id)""",
+    "consensus8": "consensus8 AS (SELECT snp_id, hap % 8 AS hap, CASE WHEN 2 * sum(allele) > count(*) THEN 1 ELSE 0 END AS allele FROM haps GROUP BY 1, 2)",
     "genmap": """genmap AS (SELECT CAST(p_partkey % 5 AS INTEGER) AS chrom, p_partkey * 20000 AS bp,
   sum(CAST(round(p_retailprice * 100) AS BIGINT)) OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) / 100000.0 AS cm FROM part)""",
     "mask": "mask AS (SELECT CAST(user_id % 5 AS INTEGER) AS chrom, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS p, event_type <> 'error' AS ok FROM events)",
     "epochs": "epochs AS (SELECT CAST(e AS INTEGER) AS epoch, e * 5.0 AS lo, CASE WHEN e = 9 THEN 1e9 ELSE (e + 1) * 5.0 END AS hi FROM range(10) r(e))",
 }
-_NEEDS = {"paths": ["nodes"], "heights": ["paths"], "clades": ["paths"], "dists": ["muts"], "ages": ["dists", "heights"], "sites": ["haps"]}
+_NEEDS = {"paths": ["nodes"], "heights": ["paths"], "clades": ["paths"], "dists": ["muts"], "ages": ["dists", "heights"], "sites": ["haps"], "consensus8": ["haps"]}
 
 
 def sql(query: str, *names: str) -> str:
