@@ -23,6 +23,11 @@ NODES = f"array<{trees.NODE}>"
 TOGETHER = 32
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores: a row is seconds of work, so that few bytes are no reason to put many into one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def prepare(sites: DataFrame, genmap: DataFrame | None = None, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
     """sites with dist, rpos, r and state. Without a map a centimorgan is a million bases."""
     rows = windows.distances(sites, by)
@@ -93,7 +98,7 @@ def build_topology(chunks: DataFrame, theta: float = 0.001, force_every: int | N
                 yield pd.DataFrame(out)
 
     head = ", ".join(f"{k} {dict(chunks.dtypes)[k]}" for k in by)
-    return chunks.mapInPandas(run, f"{head}, chunk int, tree int, start_snp int, n int, nodes {NODES}, muts array<{mut}>")
+    return _spread(chunks, *by, "chunk").mapInPandas(run, f"{head}, chunk int, tree int, start_snp int, n int, nodes {NODES}, muts array<{mut}>")
 
 
 def merge_chunks(built: DataFrame, by: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006
@@ -142,7 +147,7 @@ def dated(genealogy: DataFrame, sites: DataFrame, mu: float, ne: float, rates: d
 
     types = dict(genealogy.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in by)
-    lengths = genealogy.select(*by, "tree_id", "nodes").join(packed, [*by, "tree_id"]).mapInPandas(go, f"{head}, tree_id int, __lengths array<array<double>>")
+    lengths = _spread(genealogy.select(*by, "tree_id", "nodes").join(packed, [*by, "tree_id"]), *by, "tree_id").mapInPandas(go, f"{head}, tree_id int, __lengths array<array<double>>")
     out = genealogy.join(lengths, [*by, "tree_id"])
     first = F.transform("nodes", lambda x, i: x.withField("branch_length", F.get(F.col("__lengths")[0], i)))
     if samples is None:

@@ -299,15 +299,6 @@ def p22(spark, d):
     return out.select("tree_id", F.size("samples").alias("n"), r6(F.aggregate(F.col("samples")[1], F.lit(0.0), lambda a, x: a + x)).alias("total_length"))
 
 
-@query("o11_population_size")
-def o11(spark, d):
-    """The loop: rates, branch lengths under them, rates again; two rounds."""
-    s = inference.prepare(_sites(spark, d))
-    g = inference.merge_chunks(inference.build_topology(inference.make_chunks(s, 40, 10), 0.01))
-    rates_, _ = inference.population_size(g, s, 1e-5, 1000.0, [0.0, 100.0, 1000.0, 10_000.0], iterations=2)
-    return rates_.select("epoch", "lo", r6(F.col("rate") * 1e6).alias("rate"))
-
-
 @query("a24_optimise")
 def a24(spark, d):
     return inference.optimise(_chunks(spark, d), [0.001, 0.02], [1.0])
