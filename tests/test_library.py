@@ -327,3 +327,21 @@ def test_pairs_are_summed_as_one_by_one(spark):
     get = lambda df: {(r["i"], r["j"], r["epoch"]): (r["num"], r["denom"]) for r in df.collect()}
     a, b = get(rates.pair_sums(t, spans, grid)), get(rates.pair_events(trees.pair_times(t), grid, spans))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_lines_from_a_shuffle_are_all_numbered(spark):
+    from treeloom.sources import read
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        head = spark.createDataFrame([("head",)], "value string").coalesce(1)
+        rows = spark.range(20000).select("id", F.concat_ws(";", F.col("id").cast("string"), F.repeat(F.lit("x"), 40)).alias("value")).repartition("id").drop("id")
+        got = read.numbered(head.unionByName(rows)).select("line", F.substring_index("value", ";", 1).alias("value")).collect()
+        assert sorted(r["line"] for r in got) == list(range(20001)) and len({r["value"] for r in got}) == 20001
+        assert [r["value"] for r in got if r["line"] == 0] == ["head"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

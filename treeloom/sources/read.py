@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import alleles
+from treeloom.store import materialise
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +36,12 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """lines with line, from 0, in the order of the file: partitions are counted first, then numbered by running sums."""
-    kept = lines.select("value", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id"))
+    """lines with line, from 0, in the order of the file: partitions are counted first, then numbered by running sums.
+
+    Lines are written with their places first: lines that come from a shuffle, made once for the counts and once more for
+    the rows, may lie in other partitions the second time.
+    """
+    kept = materialise(lines.select("value", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")))[0]
     sizes = kept.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     w = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))  # a row for each partition
