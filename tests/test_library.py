@@ -345,3 +345,24 @@ def test_lines_from_a_shuffle_are_all_numbered(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_mutation_parents_pair_branches_not_mutations(spark):
+    from threading import Timer
+
+    from treeloom.operators import tables
+
+    clades = spark.createDataFrame([(1, 0, 0, [0]), (1, 0, 1, [1]), (1, 0, 2, [2]), (1, 0, 3, [0, 1]), (1, 0, 4, [0, 1, 2])], "chrom int, tree_id int, node int, tips array<int>")
+    n = 60000
+    rows = spark.range(n).select(F.col("id").alias("snp_id"), F.lit(1).alias("chrom"), F.lit(0).alias("tree_id"), F.lit(7).alias("pos"), (F.col("id") % 5).cast("int").alias("branch"))
+    # a number on two branches, a position with no branch above, a mutation on no branch
+    more = spark.createDataFrame([(-1, 1, 0, 9, 0), (-2, 1, 0, 9, 3), (-1, 1, 0, 9, 3), (-3, 1, 0, 9, 9)], "snp_id long, chrom int, tree_id int, pos int, branch int")
+    timer = Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        got = tables.mutation_parents(rows.unionByName(more), clades).collect()
+    finally:
+        timer.cancel()
+    want = {0: 3, 1: 3, 2: 4, 3: 4, 4: None}
+    assert len(got) == n + 4 and all(r["parent"] == want[r["snp_id"] % 5] for r in got if r["snp_id"] >= 0)
+    assert sorted(((r["snp_id"], r["parent"]) for r in got if r["snp_id"] < 0), key=str) == [(-1, -2), (-1, -2), (-2, None), (-3, None)]

@@ -58,13 +58,19 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
 
 
 def mutation_parents(mutations: DataFrame, clades: DataFrame, keys: list[str] = ["chrom", "tree_id"]) -> DataFrame:  # noqa: B006
-    """(snp_id, parent): of the mutations of one position the one on the nearest branch above. clades(keys, node, tips)."""
-    m = mutations.join(clades.withColumnRenamed("node", "branch"), [*keys, "branch"])
-    a = m.select(*keys, "pos", "snp_id", "tips")
-    b = m.select(*keys, "pos", F.col("snp_id").alias("parent"), F.col("tips").alias("__above"))
+    """(snp_id, parent): of the mutations of one position the one on the nearest branch above. clades(keys, node, tips).
+
+    Of the mutations on one branch at one position the smallest stands for all, so that only branches are paired.
+    """
+    place = [*keys, "pos", "branch"]
+    first = mutations.groupBy(*place).agg(F.min("snp_id").alias("parent"))
+    own = first.join(clades.withColumnRenamed("node", "branch"), [*keys, "branch"])
+    a = own.select(*place, "tips")
+    b = own.where("parent is not null").select(*keys, "pos", "parent", F.col("tips").alias("__above"))
     up = a.join(b, [*keys, "pos"]).where((F.size("tips") < F.size("__above")) & (F.size(F.array_except("tips", "__above")) == 0))
-    near = up.groupBy("snp_id").agg(F.min_by("parent", F.struct(F.size("__above"), "parent")).alias("parent"))
-    return mutations.select("snp_id").join(near, "snp_id", "left")
+    near = up.groupBy(*place).agg(F.min(F.struct(F.size("__above").alias("n"), "parent")).alias("__near"))
+    found = mutations.join(near, place).groupBy("snp_id").agg(F.min("__near")["parent"].alias("parent"))
+    return mutations.select("snp_id").join(found, "snp_id", "left")
 
 
 def edge_differences(edges: DataFrame) -> DataFrame:
