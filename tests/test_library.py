@@ -366,3 +366,26 @@ def test_mutation_parents_pair_branches_not_mutations(spark):
     want = {0: 3, 1: 3, 2: 4, 3: 4, 4: None}
     assert len(got) == n + 4 and all(r["parent"] == want[r["snp_id"] % 5] for r in got if r["snp_id"] >= 0)
     assert sorted(((r["snp_id"], r["parent"]) for r in got if r["snp_id"] < 0), key=str) == [(-1, -2), (-1, -2), (-2, None), (-3, None)]
+
+
+def test_strings_of_many_haplotypes_take_linear_time(spark):
+    from threading import Timer
+
+    from treeloom.functions import alleles
+    from treeloom.operators import cleaning, tables
+
+    n = 200001
+    gt = "".join("01"[i * i % 7 % 2] for i in range(n))
+    keep = [i for i in range(n) if i % 5]
+    sites = spark.createDataFrame([(1, s, s + 1, f"r{s}", "A", "C", gt) for s in range(4)], "chrom int, snp_id int, pos int, rsid string, anc string, alt string, gt string")
+    timer = Timer(40, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        back = cleaning.genotypes(tables.vcf_lines(sites).select("value")).select("gt").collect()
+        picked = cleaning.remove_haplotypes(sites, keep).select("gt").collect()
+        odd = spark.createDataFrame([("01",), ("",), (None,)], "gt string").select(alleles.pick(F.col("gt"), [1, 0, 5]), alleles.pick(F.col("gt"), [])).collect()
+    finally:
+        timer.cancel()
+    assert [r["gt"] for r in back] == [gt[:-1]] * 4
+    assert [r["gt"] for r in picked] == ["".join(gt[i] for i in keep)] * 4
+    assert [r[0] for r in odd] == ["10", "", ""] and [r[1] for r in odd] == [""] * 3

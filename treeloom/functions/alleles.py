@@ -48,8 +48,12 @@ def carries(gt: Column, hap: Column) -> Column:
 
 def pick(gt: Column, haps: list[int]) -> Column:
     """The haplotypes of a list, in its order."""
-    # a list as one literal, not an expression for each haplotype
-    return F.array_join(F.transform(F.array(*map(F.lit, haps)), lambda h: F.substring(gt, h + 1, F.lit(1))), "") if haps else F.lit("")
+    # the list as one literal, not an expression for each haplotype; the string is cut into signs once, not searched for each
+    if not len(haps):
+        return F.lit("")
+    places = F.split(F.lit(",".join(map(str, haps))), ",").cast("array<int>")
+    own = lambda signs: F.array_join(F.transform(places, lambda h: F.get(signs, h)), "")
+    return F.get(F.transform(F.array(F.split(gt, "")), own), F.lit(0))
 
 
 def transversion(anc: Column, der: Column) -> Column:

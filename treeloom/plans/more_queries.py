@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from treeloom.functions import alleles
@@ -413,8 +414,8 @@ def o10(spark, d):
     s = cleaning.unique_positions(views.sites(spark, d).withColumn("pos", (F.col("snp_id") * 3 + 1).cast("long")))
     s = cleaning.polarise(s, F.substring(F.lit("ACGT"), (F.col("snp_id") * 3 % 4 + 1).cast("int"), F.lit(1)))
     # haplotypes have places in a site's string by vec_id
-    labels = [r["label"] for r in views.table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
-    s = cleaning.remove_haplotypes(s, [i for i, x in enumerate(labels) if x != 9])
+    removed = views.table(spark, d, "embeddings").select("vec_id", (F.coalesce(F.col("label") == 9, F.lit(True))).alias("removed")).orderBy("vec_id").select("removed").toPandas()["removed"]
+    s = cleaning.remove_haplotypes(s, np.flatnonzero(~removed.to_numpy(bool)).tolist())
     bases = views.mask(spark, d).withColumn("p", F.col("p").cast("long"))
     s = cleaning.filter_by_mask(s, bases, reach=20, most=8)
     counts = cleaning.group_counts(views.haps(spark, d).where("grp <> 9").withColumn("grp", F.col("grp").cast("string")))
