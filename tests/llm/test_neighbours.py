@@ -53,3 +53,16 @@ def test_empty_table_and_few_candidates(spark):
     assert run(spark, []) == []
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])]
     assert run(spark, rows) == brute(rows) and len(brute(rows)) == 2
+
+
+def test_grid_of_tasks_is_exact_and_joins_nothing(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rnd.normal(size=3).astype(np.float32)]) for i in range(3000)]
+    rows += [(i, [1.0, float(i % 7 - 3)]) for i in range(3000, 3400)] + [(100, rows[100][1])] * 300
+    for name, value in (("SHARD", 64), ("QUERIES", 8), ("HELD", 40), ("GROUPS", 5)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    near = N.nearest(df, F.col("vec_id") % 50 == 0)
+    # a block of queries is not sent to every shard, and no side of a join to the driver
+    assert "Join" not in near._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in near.collect()) == brute(rows)

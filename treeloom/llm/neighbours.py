@@ -10,18 +10,19 @@ factors prune more. All queries of a block go down a tree together as arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from treeloom.llm._store import materialise
+from pyspark.sql import types as T
 
 #: Vectors of a shard and queries of a block, on average; leaves of a tree.
 SHARD, QUERIES, LEAF = 8192, 1024, 64
+#: Queries that a task holds, and groups of shards that all queries go to at least, if there are as many shards.
+HELD, GROUPS = 1 << 18, 48
 #: Distances are doubles; a side is left out only if it is farther by more than their rounding.
 ROUNDING = 1e-9
 
@@ -35,6 +36,8 @@ def usable(v: Column) -> Column:
 def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosines of rows in double precision, summed from left to right, so that equal vectors get equal results."""
 
+    q, v = np.asarray(q, np.float64), np.asarray(v, np.float64)
+
     def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a))
         for i in range(a.shape[1]):
@@ -45,6 +48,7 @@ def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    v = np.asarray(v, np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow or underflow of squares
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -145,33 +149,72 @@ def search(tree: Tree, vectors: np.ndarray, units: np.ndarray, ids: np.ndarray,
         visit(0, len(ids), np.arange(len(best.queries)))
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in rows])
-
+def distinct(ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id; those that repeat an id stand once, with the smallest vector."""
+    by = np.lexsort((*points.T[::-1], ids))
+    ids, points = ids[by], points[by]
+    first = np.r_[True, ids[1:] != ids[:-1]]
+    return ids[first], points[first]
 
-def _pack(vectors: np.ndarray) -> bytes:
-    return np.ascontiguousarray(vectors, np.float64).tobytes()
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray, np.ndarray]]:
+    """(key, ids, vectors) of rows (task, asked, dim, shard, id, v) that are sorted by the first four, in runs of one key."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        ids, v = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            yield tuple(keys[:, a].tolist()), ids[a:b], v[a:b].flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
 
-def index(vectors: DataFrame, shards: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(dim, shard, ids, vectors, order, nodes): one tree per shard of SHARD rows on average, every usable row in one."""
-    rows = vectors.where(usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")})
 
-    def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        points = _matrix(group["v"])
-        ids = group["id"].to_numpy(np.int64)
-        # rows that repeat an id stand once, with the smallest vector
-        by = np.lexsort((*points.T[::-1], ids))
-        ids, points = ids[by], points[by]
-        first = np.r_[True, ids[1:] != ids[:-1]]
-        ids, points = ids[first], points[first]
-        tree = Tree.grow(unit(points))
-        nodes = np.array([(lo, hi, half, 0) for (lo, hi), (half, _) in tree.nodes.items()], np.int64).reshape(-1, 4)
-        medians = np.array([m for _, m in tree.nodes.values()], np.float64)
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [ids.tobytes()], "vectors": [_pack(points)], "order": [tree.order.astype(np.int64).tobytes()], "nodes": [nodes.tobytes()], "medians": [medians.tobytes()]})
+def _searched(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score): the k best of a task's queries, which come first, among its vectors, which come by shard.
 
-    return rows.groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, ids binary, vectors binary, order binary, nodes binary, medians binary")
+    A shard's tree is built, searched by all blocks of queries and dropped; what they have found so far narrows the next.
+    """
+    asked: dict[int, list[Best]] = {}  # by dim
+    task = key = None
+    ids: list[np.ndarray] = []
+    points: list[np.ndarray] = []
+
+    def close() -> None:
+        """The run of key ends."""
+        if not ids:
+            return
+        own, rows = np.concatenate(ids), np.concatenate(points)
+        ids.clear()
+        points.clear()
+        if key[1] == 0:
+            asked.setdefault(key[2], []).append(Best(rows, own, k))
+        elif key[2] in asked:
+            own, rows = distinct(own, rows.astype(np.float64))
+            units = unit(rows)
+            tree = Tree.grow(units)
+            for best in asked[key[2]]:
+                search(tree, rows, units, own, best, factor)
+
+    def found() -> Iterator[pa.RecordBatch]:
+        for best in (x for of in asked.values() for x in of):
+            q, j = np.nonzero(best.score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, j]), pa.array(best.score[q, j])], names=["query_id", "vec_id", "score"])
+
+    for now, own, rows in _runs(batches):
+        if now != key:
+            close()
+            key = now
+        if now[0] != task:
+            yield from found()
+            asked.clear()
+            task = now[0]
+        ids.append(own)
+        points.append(rows)
+        if now[1] and sum(map(len, ids)) > 8 * SHARD:  # rows that repeat an id
+            own, rows = distinct(np.concatenate(ids), np.concatenate(points))
+            ids[:], points[:] = [own], [rows]
+    close()
+    yield from found()
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -180,35 +223,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.
     Rows whose vector is null, empty or zero or holds a null or non-finite component take no part, nor do rows without
     an id. A query's own id is no candidate. Vectors of another length are no candidates. Rows that repeat an id count
     once, with the smallest of their vectors. With fewer candidates than k all are returned; an empty table gives none.
-    Queries go in blocks against shards; both are of bounded size and every pair of them is one task's row.
+    Tasks are a grid: each has one group of shards and at most HELD queries on average. A query is sent to every group, a
+    vector to every HELD queries; there are as many groups as there are vectors to a query, so that queries weigh no more
+    than vectors, and GROUPS at least. Nothing goes through the driver but two counts.
     """
-    spark = vectors.sparkSession
+    kind = vectors.schema[vector].dataType
+    own = F.col(vector) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType | T.DoubleType) else F.col(vector).cast("array<double>")
     count = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-count["n"] // SHARD)), max(1, -(-count["q"] // QUERIES))
-    trees, _ = materialise(index(vectors, shards, id, vector))
-    asked = vectors.where(is_query & usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
-
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "q_ids": [group["id"].to_numpy(np.int64).tobytes()], "q_vectors": [_pack(_matrix(group["v"]))]})
-
-    packed = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, q_ids binary, q_vectors binary")
-    work = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dim", "shard"])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                points = np.frombuffer(r["vectors"], np.float64).reshape(len(ids), r["dim"])
-                nodes = np.frombuffer(r["nodes"], np.int64).reshape(-1, 4)
-                tree = Tree(np.frombuffer(r["order"], np.int64), {(a, b): (c, m) for (a, b, c, _), m in zip(nodes.tolist(), np.frombuffer(r["medians"], np.float64).tolist(), strict=True)})
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                best = Best(np.frombuffer(r["q_vectors"], np.float64).reshape(len(q_ids), r["dim"]), q_ids, k)
-                search(tree, points, unit(points), ids, best, factor)
-                q, j = np.nonzero(best.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(best.found[q, j]), pa.array(best.score[q, j])], names=["query_id", "vec_id", "score"])
-
-    found = work.select("dim", "ids", "vectors", "order", "nodes", "medians", "q_ids", "q_vectors").mapInArrow(find, "query_id long, vec_id long, score double")
+    n, q = count["n"], count["q"]
+    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // QUERIES))
+    groups, parts = min(shards, max(GROUPS, n // max(q, 1))), max(1, -(-q // HELD))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    place = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    usable_ = usable(F.col(vector)) & F.col(id).isNotNull()
+    rows = vectors.where(usable_).select(F.col(id).cast("long").alias("id"), own.alias("v")).withColumn("shard", place(shards))
+    rows = rows.select(numbers(parts).alias("part"), F.lit(1).alias("asked"), "shard", "id", "v").withColumn("task", F.col("shard") % groups * parts + F.col("part"))
+    asked = vectors.where(is_query & usable_).select(F.col(id).cast("long").alias("id"), own.alias("v"))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("shard", place(blocks))
+    asked = asked.select(numbers(groups).alias("group"), F.lit(0).alias("asked"), "shard", "id", "v").withColumn("task", F.col("group") * parts + F.col("shard") % parts)
+    columns = ["task", "asked", F.size("v").alias("dim"), "shard", "id", "v"]
+    both = asked.select(*columns).unionByName(rows.select(*columns))
+    both = both.repartitionById(groups * parts, F.col("task")).sortWithinPartitions("task", "asked", "dim", "shard")
+    found = both.mapInArrow(lambda batches: _searched(batches, k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
