@@ -93,3 +93,28 @@ def test_wrappers_align_in_any_grouping():
     assert whole == P.expression(P.merged(parts)) == "<body><div>Site(<div>ad)?<main><h1>#(<p>text)+"
     long = P.infer(["<body>" + "".join(f"<i>x</i><b>{k}</b>" for k in range(n)) + "</body>" for n in (900, 700)])
     assert P.expression(long).count("<b>") >= 900
+
+
+def test_alignment_is_the_longest_at_every_length():
+    import random
+
+    def plain(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    rnd = random.Random(2)
+    for n, m in ((0, 3), (1, 1), (7, 40), (40, 7), (300, 280), (700, 650)):
+        x, y = [rnd.choice("abcde") for _ in range(n)], [rnd.choice("abcdef") for _ in range(m)]
+        assert P._longest([P.Node(k) for k in x], [P.Node(k) for k in y]) == plain(x, y)

@@ -17,10 +17,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -37,8 +37,6 @@ LEAST = 3
 PROSE = 60
 #: Elements deeper than this are read as text of the element above.
 DEPTH = 64
-#: Products of two sequences' lengths up to which the longest alignment is sought; of longer ones a greedy alignment.
-ALIGNED = 250_000
 #: Share of an element's prose that one element within must hold to be the content in its place.
 MOST = 0.7
 #: Signs of a constant that a wrapper shows; longer ones are known by a hash.
@@ -271,29 +269,43 @@ def _shown(text: str) -> str:
 
 
 def _longest(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
-    """The longest common subsequence of keys, as places in both; of long sequences a greedy one, in linear time."""
-    if len(x) * len(y) > ALIGNED:
-        at: dict[str, list[int]] = {}
-        for j, q in enumerate(y):
-            at.setdefault(q.key, []).append(j)
-        out, upto = [], 0
-        for i, p in enumerate(x):
-            places = at.get(p.key, ())
-            k = bisect_left(places, upto)
-            if k < len(places) and places[k] - upto <= len(x) - i:
-                out.append((i, places[k]))
-                upto = places[k] + 1
-        return out
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if x[i].key == y[j].key else 0)
+    """The longest common subsequence of keys, as places in both; of equals the one that skips in x first.
+
+    A row of the table of lengths is a number with a bit for each place of y, 0 where the length grows. Of rows every
+    isqrt(n)-th is kept, those between are made again where the way back needs them.
+    """
+    n, m = len(x), len(y)
+    full, step = (1 << m) - 1, max(1, isqrt(n))
+    at: dict[str, int] = {}
+    for j, q in enumerate(y):
+        at[q.key] = at.get(q.key, 0) | 1 << (m - 1 - j)
+
+    def above(row: int, i: int) -> int:
+        u = row & at.get(x[i].key, 0)
+        return (row + u | row - u) & full
+
+    def length(row: int, j: int) -> int:
+        return m - j - (row & (1 << (m - j)) - 1).bit_count()
+
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
     out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i].key == y[j].key and best[i][j] == best[i + 1][j + 1] + 1:
+    while i < n and j < m:
+        if x[i].key == y[j].key:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            continue
+        if i not in rows or i + 1 not in rows:
+            low = i - i % step
+            end = min(low + step, n)
+            rows = {end: kept[end]}
+            for k in range(end - 1, low - 1, -1):
+                rows[k] = above(rows[k + 1], k)
+        if length(rows[i + 1], j) >= length(rows[i], j + 1):
             i += 1
         else:
             j += 1
