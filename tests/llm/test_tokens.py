@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from treeloom.llm import tokens as K
 
 TEXTS = [None, "", " ", "Hello, world!  I'll say it's 12345 done.\n\n  x", "thtitiontion thhastre Onndor", "Ünïcode 字字     x\x85y ᠎\x1c end   ", "a" * 3000, "🙂🙃 don't DON'T", "\t\n \r\n  end\t", "https://x.y/z?q=1&r=%20"]
@@ -44,6 +45,25 @@ def test_every_token_is_the_merge_of_its_own_bytes(spark, encoding):
     assert all(r["ids"] == [r["i"]] for r in made)
 
 
+def test_a_span_is_hashed_once_for_each_of_its_places(spark):
+    # lambdas are interpreted: what is named twice is computed twice, at every span of every rare word
+    tables = {k: F.col(k) for k in ("spans", "pieces")}
+    assert str(K._found(F.col("span"), tables, K.vocabulary())).count("xxhash64") == 2
+
+
+def test_lengths_that_go_beyond_the_end(spark, encoding):
+    v = K.vocabulary()
+    rnd = random.Random(5)
+    tokens = [t for t in v.tokens if t and t.isascii() and t.isalpha()]
+    heads = [t[: rnd.randint(4, len(t) - 1)] for t in tokens if len(t) > 8]  # longer tokens begin so, but the word ends
+    words = [b"".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 4))) + rnd.choice(heads) for _ in range(400)]
+    words += [(b"".join(rnd.choice(tokens) for _ in range(60)))[:n] for n in (57, 58, 59, 60, 61) for _ in range(8)]
+    tables = K._tables(spark, v)
+    df = spark.createDataFrame([(w.decode(),) for w in words], "w string")
+    for r in df.select("w", K.bound(tables, K._FOLD, lambda t: K.fold(df["w"], t, v)).alias("ids")).collect():
+        assert r["ids"] == encoding.encode_ordinary(r["w"])
+
+
 def test_full_tables_leave_keys_out():
     at = K._places([0] * 5 + [3], [1] * 5 + [4], 7)
     assert sorted(x for x in at.tolist() if x >= 0)[-1] == 5 and (at >= 0).sum() == 3

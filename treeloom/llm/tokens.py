@@ -3,7 +3,8 @@
 Every span of a word's bytes that is a token is a possible merge; a fold takes them by rank,
 the leftmost first, and makes those whose two parts stand by then. The borders between tokens
 are the bits of one number, so a step is a comparison. Ranks are a literal of the plan: a flat
-table in which each token has one of two places, so a look-up costs the same for all. Distinct
+table in which each token has one of two places, so a look-up costs the same for all. Only spans
+are looked up that are as long as a token with their first bytes. Distinct
 words that are frequent in a bounded sample are folded once and their tokens are part of the
 literal, too; all other words are folded where they stand, so the result doesn't depend on the
 sample. A long word is folded in pieces of bounded size, as an array of neighbours, so its time
@@ -33,8 +34,8 @@ WORD_BYTES = 48
 _TOKEN, _PLACE, _NONE = (1 << 17) - 1, ((1 << 29) - 1) << 17, (1 << 17) - 1
 #: Bytes of a word that are folded at once; of a longer word so many bytes at a time, after the last KEEP tokens before them.
 WHOLE, PIECE, KEEP = 60, 64, 4
-#: An entry of the table of tokens: bits of the hash above _SPLIT, the token (17 bits) above _ID, the length of its left part (6).
-_SPLIT, _ID = 35, 18
+#: Bits of the hash of a span's first HEAD bytes, by which the lengths of tokens are found.
+HEAD, HEAD_BITS = 4, 18
 
 _SPACE = r"\t-\r \x85\xA0  -     　"
 
@@ -86,25 +87,30 @@ class Vocabulary:
             self.bytes[zlib.crc32(bytes([b])) & 0xFF] = of[bytes([b])]  # all different there
         if len(self.tokens) >= 1 << 16:
             raise ValueError("ids of more than 16 bits, or the last of them, which ends a word")
-        left = {t: len(_parts(t, of, r)[0]) if 1 < len(t) <= WHOLE else 0 for t, r in of.items()}
-        self.span_size = 1 << (5 * len(left)).bit_length()
-        h = np.array([xxhash.xxh64_intdigest(t, 42) for t in left], np.uint64).view(np.int64)
+        self.span_size = 1 << (5 * len(of)).bit_length()
+        h = np.array([xxhash.xxh64_intdigest(t, 42) for t in of], np.uint64).view(np.int64)
         table = np.full(1, -1)
-        while (table >= 0).sum() < len(left):  # every token has its place
+        while (table >= 0).sum() < len(of):  # every token has its place
             table = _places((h & self.span_size - 1).tolist(), ((h >> 20) & self.span_size - 1).tolist(), self.span_size)
-            self.span_size <<= int((table >= 0).sum() < len(left))
-        entries = h >> _SPLIT << _SPLIT | np.array([of[t] << _ID | k for t, k in left.items()], np.int64)
-        self.spans = np.append(entries, 0)[table]
-        # by a hash of four bytes: the longest token that begins with them
-        self.reach = np.full(1 << 16, 3, np.int64)
-        for t in left:
-            if 3 < len(t) <= WHOLE:
-                at = xxhash.xxh64_intdigest(t[:4], 42) & 0xFFFF
-                self.reach[at] = max(self.reach[at], len(t))
-        # by length << 6 | length of the left part: all borders of a span, and those that stand before its parts are merged
-        shapes = [(n, k) for n in range(WHOLE + 1) for k in range(64)]
-        self.borders = [(1 << n + 1) - 1 for n, _ in shapes]
-        self.standing = [1 | 1 << min(k, n) | 1 << n for n, k in shapes]
+            self.span_size <<= int((table >= 0).sum() < len(of))
+        self.spans = pa.array(np.array(list(of.values()), np.int32)[table], mask=table < 0)
+        # by a hash of HEAD bytes: the number of the list of lengths that tokens with these first bytes have, shorter ones always
+        short = tuple(range(2, HEAD))
+        lengths: dict[int, set[int]] = {}
+        for t in of:
+            if HEAD <= len(t) <= WHOLE:
+                lengths.setdefault(xxhash.xxh64_intdigest(t[:HEAD], 42) & (1 << HEAD_BITS) - 1, set()).add(len(t))
+        lists = {short: 0}
+        self.heads = [0] * (1 << HEAD_BITS)
+        for at, n in lengths.items():
+            self.heads[at] = lists.setdefault((*short, *sorted(n)), len(lists))
+        self.lengths = list(lists)
+        # by token, from its first border: all borders of its span, those that stand before its parts are merged, and the one that goes
+        self.borders, self.standing, self.middle = ([0] * len(self.tokens) for _ in range(3))
+        for t, r in of.items():
+            if 1 < len(t) <= WHOLE:
+                n, k = len(t), len(_parts(t, of, r)[0])
+                self.borders[r], self.standing[r], self.middle[r] = (1 << n + 1) - 1, 1 | 1 << k | 1 << n, 1 << k
 
 
 def _parts(token: bytes, of: dict[bytes, int], rank: int) -> list[bytes]:
@@ -134,20 +140,16 @@ def bound(t: Tables, names: list[str], body: Callable[[Tables], Column]) -> Colu
 
 
 def _found(span: Column, t: Tables, v: Vocabulary) -> Column:
-    """token << _ID | length of its left part, of a span of bytes; null if it is none."""
-    mask, low = v.span_size - 1, (1 << _SPLIT) - 1
-    # most spans are none and have an empty place: what they don't need is not named beforehand
+    """The token that a span of bytes is; null if it is none."""
     h = F.xxhash64(span)
 
     def at(place: Column, other: Column | None) -> Column:
         def looked(e: Column) -> Column:
-            same = F.when(F.shiftrightunsigned(e.bitwiseXOR(h), _SPLIT) == 0, F.get(t["pieces"], F.shiftright(e.bitwiseAND(low), _ID).cast("int")) == span).otherwise(F.lit(False))
-            found = F.when(same, e.bitwiseAND(low))
-            # a token is at its second place only if its first is taken
-            return found if other is None else found.otherwise(other)
+            same = F.when(F.get(t["pieces"], e) == span, e)
+            # a token is at its second place only if its first is taken; most spans are none and have an empty place
+            return same if other is None else same.when(e.isNotNull(), other)
 
-        entry = F.get(t["spans"], place.bitwiseAND(mask).cast("int"))
-        return F.when(entry != 0, let(entry, looked))
+        return let(F.get(t["spans"], place.bitwiseAND(v.span_size - 1)), looked)
 
     return at(h, at(F.shiftright(h, 20), None))
 
@@ -163,7 +165,7 @@ def _folded(data: Column, t: Tables, v: Vocabulary) -> Column:
     def rank(a: Column, b: Column) -> Column:
         """Of two neighbours or ends, shifted to its place."""
         pair = F.concat(F.get(t["pieces"], a.bitwiseAND(_TOKEN).cast("int")), F.get(t["pieces"], b.bitwiseAND(_TOKEN).cast("int")))
-        return F.coalesce(let(pair, lambda x: F.shiftleft(F.shiftright(_found(x, t, v), _ID), 46)), none)
+        return F.coalesce(let(pair, lambda x: F.shiftleft(_found(x, t, v).cast("long"), 46)), none)
 
     def step(s: Column, _: Column) -> Column:
         def merged(m: Column) -> Column:
@@ -183,7 +185,7 @@ def _folded(data: Column, t: Tables, v: Vocabulary) -> Column:
         return let(start, lambda s: F.aggregate(F.slice(s, F.lit(4), F.size(s)), s, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(_TOKEN).cast("int"))))
 
     def of_bytes(data: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.get(t["bytes"], F.crc32(F.substring(data, i, F.lit(1))).bitwiseAND(0xFF).cast("int")).cast("long"))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.get(t["bytes"], F.crc32(F.substring(data, i, F.lit(1))).bitwiseAND(0xFF)).cast("long"))
 
     return let(let(data, of_bytes), run)
 
@@ -192,38 +194,35 @@ def _folded_as_bits(data: Column, t: Tables, v: Vocabulary) -> Column:
     """The same for WHOLE bytes at most: all spans that are tokens by rank and place, each merged if its two parts stand.
 
     One pass is enough: the merges that make a token have smaller ranks, and a span between two borders is merged as if it
-    stood alone, so whenever its last two parts meet, no span of a smaller rank is left to be merged anywhere.
+    stood alone, so whenever its last two parts meet, no span of a smaller rank is left to be merged anywhere. A length that
+    goes beyond the end gives the span up to it once more; the second merge of a span finds its border gone.
     """
-    def token(data: Column, i: Column, n: Column) -> Column:
-        """Of the span of n bytes from i, counted from 0."""
-        return _found(F.substring(data, i + 1, n), t, v)
 
     def run(data: Column) -> Column:
         n = F.octet_length(data)
+        # places are counted from 1; a border is the bit of the place after it. A possible merge: its token above 6 bits of place
 
         def merges(i: Column) -> Column:
-            reach = F.get(t["reach"], F.xxhash64(F.substring(data, i + 1, F.lit(4))).bitwiseAND(0xFFFF).cast("int")).cast("int")
-
-            def one(m: Column) -> Column:
-                return token(data, i, m).bitwiseOR((i * 4096 + m * 64).cast("long"))
-
-            return let(reach, lambda r: F.filter(F.transform(F.sequence(F.lit(2), F.when(r < n - i, r).otherwise(n - i)), one), lambda x: x.isNotNull()))
+            head = F.xxhash64(F.substring(data, i, F.lit(HEAD))).bitwiseAND((1 << HEAD_BITS) - 1)
+            spans = F.transform(F.get(t["lengths"], F.get(t["heads"], head)), lambda m: F.substring(data, i, m))
+            return F.transform(spans, lambda x: F.shiftleft(_found(x, t, v), 6).bitwiseOR(i))
 
         def step(b: Column, x: Column) -> Column:
-            shape, at = x.bitwiseAND(4095).cast("int"), F.shiftright(x, 12).bitwiseAND(63).cast("int")
-            stands = F.call_function("shiftright", b, at).bitwiseAND(F.get(t["borders"], shape)) == F.get(t["standing"], shape)
-            return F.when(stands, b - F.call_function("shiftleft", F.lit(1).cast("long"), at + shape.bitwiseAND(63))).otherwise(b)
+            token = F.shiftright(x, 6)
+            # a number of 64 bits is shifted by the last 6 bits of x: its place
+            stands = F.call_function("shiftright", b, x).bitwiseAND(F.get(t["borders"], token)) == F.get(t["standing"], token)
+            return F.when(stands, b.bitwiseXOR(F.call_function("shiftleft", F.get(t["middle"], token), x))).otherwise(b)
 
-        def spans(b: Column) -> Column:
-            def id_(i: Column) -> Column:
+        def tokens(b: Column) -> Column:
+            def span(i: Column) -> Column:
                 rest = F.call_function("shiftright", b, i + 1)
-                return F.shiftright(token(data, i, F.bit_count(rest.bitwiseXOR(rest - 1))), _ID).cast("int")
+                return F.substring(data, i, F.bit_count(rest.bitwiseXOR(rest - 1)))
 
-            return F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", b, i).bitwiseAND(1) == 1), id_)
+            return F.transform(F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: F.getbit(b, i) == 1), span), lambda x: _found(x, t, v))
 
-        every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-        found = F.when(n > 1, F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), merges)))).otherwise(F.array().cast("array<bigint>"))
-        return F.aggregate(found, every, step, spans)
+        every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 2) - 2
+        found = F.when(n > 1, F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), merges))))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(found, every, step, tokens)
 
     return let(data, run)
 
@@ -283,8 +282,9 @@ def pieces(text: Column, v: Vocabulary) -> Column:
 
 
 Tables = dict
-_LONGS = ["spans", "reach", "borders", "standing"]
-_FOLD = [*_LONGS, "bytes", "pieces"]
+_LONGS = ["borders", "standing", "middle"]
+_INTS = ["spans", "heads", "bytes"]
+_FOLD = [*_LONGS, *_INTS, "lengths", "pieces"]
 _WORDS = "array<struct<word:string,ids:array<int>>>"
 
 
@@ -307,7 +307,8 @@ def _tables(spark: SparkSession, v: Vocabulary, words: DataFrame | None = None,
     """
     name = f"treeloom_{uuid.uuid4().hex}"
     whole = {k: ("array<bigint>", pa.array([getattr(v, k)], pa.list_(pa.int64()))) for k in _LONGS}
-    whole["bytes"] = ("array<int>", pa.array([v.bytes], pa.list_(pa.int32())))
+    whole |= {k: ("array<int>", pa.array([getattr(v, k)], pa.list_(pa.int32()))) for k in _INTS}
+    whole["lengths"] = ("array<array<int>>", pa.array([v.lengths], pa.list_(pa.list_(pa.int32()))))
     whole["pieces"] = ("array<binary>", pa.array([v.tokens], pa.list_(pa.binary())))
     whole["tokens"] = ("array<string>", pa.array([[t.decode("latin-1") for t in v.tokens]], pa.list_(pa.string())))
     out: Tables = {"names": []}
@@ -351,7 +352,7 @@ def encode(text: Column, t: Tables, v: Vocabulary) -> Column:
                 return fold(w, t, v)
 
             def at(h: Column, other: Column) -> Column:
-                return let(F.get(t["words"], h.bitwiseAND(size - 1).cast("int")), lambda x: F.when(x["word"] == w, x["ids"]).otherwise(other))
+                return let(F.get(t["words"], h.bitwiseAND(size - 1)), lambda x: F.when(x["word"] == w, x["ids"]).otherwise(other))
 
             h = F.xxhash64(w)
             return at(h, at(F.shiftright(h, 24), fold(w, t, v)))
